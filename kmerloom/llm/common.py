@@ -148,3 +148,20 @@ def ranked(df: DataFrame, group: list[str], block: F.Column, order: list, value:
     if value:
         d = d.withColumn("before", F.col("before") + F.col("_before"))
     return d.drop("_block", "_rank", "_before")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int):
+    """pandas (text, label) of about `rows` labelled documents, all of them if there are fewer, drawn by a hash of the id.
+
+    The draw is made on the labels, so that only a bounded table meets the documents and only its texts reach the driver.
+    Documents of more than most_bytes are left out.
+    """
+    named = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
+    n = named.count()
+    part = 1 << 30
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(part))
+    drawn = named.filter(draw < int(part * min(1.0, rows / max(1, n)))).distinct()
+    # about `rows` rows of two numbers
+    given = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
+    found = given.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_label").alias(label)).toPandas()
+    return found.sort_values(["doc_id", label, "text"], ignore_index=True)

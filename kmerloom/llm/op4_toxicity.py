@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import coded, pieces_of, split_words, table, text_batches
+from kmerloom.llm.common import coded, labelled_sample, pieces_of, split_words, table, text_batches
 
-#: The fit takes at most so many labelled rows, and none of more bytes than that. Grades cover all rows and whole texts.
+#: The fit takes about so many labelled rows, and none of more bytes than that. Grades cover all rows and whole texts.
 FIT_ROWS, FIT_BYTES = 8000, 16_384
 #: A feature counts if at least LEAST of the documents of the fit have it.
 LEAST, GRADES, PREFIX = 6, 4, 5
+#: Probability of grade 1 or more from which a document is called toxic; a missed one costs more than a false alarm.
+TOXIC = 0.2
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -145,11 +147,8 @@ def fitted(texts: pa.Array, toxic: np.ndarray) -> CumulativeLink:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CumulativeLink | None:
-    """Fitted to at most `rows` labelled documents drawn by hash; None without both toxic and clean ones."""
-    named = labels.filter("toxic is not null").select(F.col("doc_id").alias("_id"), "toxic")
-    given = docs.filter(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text")
-    drawn = given.join(named, F.col("doc_id") == F.col("_id")).select("text", "toxic", F.xxhash64(F.lit("toxic"), "doc_id").alias("h"), "doc_id")
-    sample = drawn.orderBy("h", "doc_id", "toxic", "text").limit(rows).toPandas()
+    """Fitted to about `rows` labelled documents drawn by hash; None without both toxic and clean ones."""
+    sample = labelled_sample(docs, labels, "toxic", rows, FIT_BYTES)
     toxic = sample["toxic"].to_numpy(float) if len(sample) else np.zeros(0)
     if len(set(toxic.tolist())) < 2:
         return None
@@ -160,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Cumulativ
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """Severity of each row of docs(doc_id, text): (doc_id, expected_severity, grade, p_toxic, toxic).
 
-    grade is the number of thresholds that are more likely passed than not, toxic that grade is 1 or more. labels has
+    grade is the number of thresholds that are more likely passed than not, toxic that p_toxic is TOXIC or more. labels has
     (doc_id, toxic). Whole texts are graded. A null, empty or blank text has no features, which gives the lowest severity.
     Repeated rows get equal severities; a null doc_id stays null. Without labels of both kinds every severity is 0. An
     empty table gives no rows. Only the named columns are read.
@@ -173,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
         for b in pieces_of(batches):
             p = np.zeros((b.num_rows, GRADES - 1)) if model is None else model.at_least(*features(b.column(1), model.known), b.num_rows)
             grade = (p >= 0.5).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0]), pa.array(grade > 0)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
 

@@ -158,6 +158,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, seed: int = 11) ->
     tables = tables_for(least, halves)
     rows = cells(classes, least, halves, tables, seed)
     full = cut(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select(F.col("key").alias("full_key"), F.ceil(F.col("count") / BLOCK).alias("blocks")))
+    # a row for each full cell; broadcast while that is small (under 1 MB), so that vectors move once
+    full = F.broadcast(full) if full.count() <= 50_000 else full
     rows = rows.join(full, F.col("key") == F.col("full_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))

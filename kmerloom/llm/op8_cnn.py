@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import pieces_of, table, text_batches, utf8
+from kmerloom.llm.common import labelled_sample, pieces_of, table, text_batches, utf8
 
 WIDTH, FILTERS, HALF = 4, 16, 128
-#: The fit takes at most so many labelled rows, and none of more bytes than that. Scores cover all rows and whole texts.
+#: The fit takes about so many labelled rows, and none of more bytes than that. Scores cover all rows and whole texts.
 FIT_ROWS, FIT_BYTES = 2500, 16_384
 
 
@@ -37,14 +37,17 @@ class Network:
 
     @staticmethod
     def halves(n_bytes: np.ndarray) -> np.ndarray:
-        """Half chunks of texts: two at least, so that there is a chunk."""
-        return np.maximum(2, -(-n_bytes // HALF))
+        """Half chunks of texts and the bytes before them: two at least, so that there is a chunk."""
+        return np.maximum(2, -(-(n_bytes + WIDTH - 1) // HALF))
 
     def lay(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' bytes, each text from the begin of a half chunk on and padded with zero bytes."""
+        """The texts' bytes, each text in half chunks of its own, padded with zero bytes.
+
+        WIDTH - 1 zero bytes stand before each text, so that no filter reaches from one text's end into the next.
+        """
         size = np.diff(at)
         halves = self.halves(size)
-        begin = (np.cumsum(halves) - halves) * HALF
+        begin = (np.cumsum(halves) - halves) * HALF + WIDTH - 1
         laid = np.zeros(int(halves.sum()) * HALF + WIDTH - 1, np.uint8)
         if len(data):
             laid[np.repeat(begin - at[:-1], size) + np.arange(len(data))] = data
@@ -142,11 +145,8 @@ def fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network | None:
-    """A network fitted to at most `rows` labelled documents outside fold 0, drawn by hash; None without two classes."""
-    named = labels.filter("quality is not null").select(F.col("doc_id").alias("_id"), "quality")
-    given = docs.filter((fold("doc_id") != 0) & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text")
-    drawn = given.join(named, F.col("doc_id") == F.col("_id")).select("text", "quality", F.xxhash64(F.lit("fit"), "doc_id").alias("h"), "doc_id")
-    sample = drawn.orderBy("h", "doc_id", "quality", "text").limit(rows).toPandas()
+    """A network fitted to about `rows` labelled documents outside fold 0, drawn by hash; None without two classes."""
+    sample = labelled_sample(docs, labels.filter(fold("doc_id") != 0), "quality", rows, FIT_BYTES)
     y = sample["quality"].to_numpy(np.float32) if len(sample) else np.zeros(0, np.float32)
     if len(set(y.tolist())) < 2:
         return None
