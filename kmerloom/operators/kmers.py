@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.lineage import cut
-from kmerloom.functions.strings import occurrences, occurrences_of_range
+from kmerloom.functions.strings import common_prefix, mers_of_windows, occurrences, windows
 
 
 def kmer_list(seqs: DataFrame, k: int) -> DataFrame:
@@ -18,14 +18,28 @@ def kmer_chop(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_count(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
-    """(k, count): distinct k-mers. Copies of a sequence are dropped first, then k-mers are."""
-    d = occurrences_of_range(seqs.select("seq").distinct(), k_from, k_to)
-    return d.select("k", "mer").distinct().groupBy("k").agg(F.count("*").alias("count"))
+    """(k, count): distinct k-mers for each k of the range, at a cost that hardly grows with the number of ks.
+
+    Distinct windows of k_to characters are sorted, by ranges so that no prefix is one task's. The prefixes that a window
+    doesn't share with the one before it are those first seen there: one interval of ks per window, added up over k.
+    """
+    spark = seqs.sparkSession
+    d = windows(seqs.select("seq").distinct(), k_from, k_to).distinct()
+    d = cut(d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "w").withColumn("part", F.spark_partition_id()))
+    last = d.groupBy("part").agg(F.max("w").alias("w"))  # a row per partition
+    last = last.select("part", F.lag("w").over(Window.orderBy("part")).alias("end"))
+    d = d.withColumn("prev", F.lag("w").over(Window.partitionBy("part").orderBy("w"))).join(F.broadcast(last), "part")
+    d = common_prefix(d.select("w", F.coalesce("prev", "end", F.lit("")).alias("prev")), "w", "prev", k_to, "shared")
+    steps = F.array(F.struct(F.greatest(F.col("shared") + 1, F.lit(k_from)).alias("k"), F.lit(1).alias("n")), F.struct((F.length("w") + 1).alias("k"), F.lit(-1).alias("n")))
+    steps = d.select(F.explode(steps).alias("s")).groupBy("s.k").agg(F.sum("s.n").alias("n"))
+    ks = spark.range(k_from, k_to + 1).select(F.col("id").cast("int").alias("k")).join(steps, "k", "left").na.fill(0, ["n"])
+    return ks.select("k", F.sum("n").over(Window.orderBy("k")).alias("count"))
 
 
 def junctions(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     """(k, v, l, r): for each (k-1)-mer the numbers of k-mers that end and that begin with it."""
-    mers = occurrences_of_range(seqs.select("seq").distinct(), k_from, k_to).select("k", "mer").distinct()
+    distinct = windows(seqs.select("seq").distinct(), k_from, k_to).distinct()
+    mers = mers_of_windows(distinct, k_from, k_to).distinct()
     ends = F.array(F.struct(F.expr("substring(mer, 1, k - 1)").alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r")), F.struct(F.expr("substring(mer, 2)").alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")))
     return mers.select("k", F.explode(ends).alias("e")).groupBy("k", "e.v").agg(F.sum("e.l").alias("l"), F.sum("e.r").alias("r"))
 
@@ -48,7 +62,8 @@ def bray_curtis(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     K-mers that occur once over all datasets are left out. A k-mer adds to the denominator of each pair that its dataset
     is in, which needs no join; only k-mers that two datasets share add to a nominator. value is null without support.
     """
-    n = occurrences_of_range(seqs, k_from, k_to).groupBy("k", "mer", "dataset_id").agg(F.count("*").alias("f"))
+    n = windows(seqs.select("dataset_id", "seq"), k_from, k_to).groupBy("dataset_id", "w").agg(F.count("*").alias("f"))
+    n = mers_of_windows(n, k_from, k_to).groupBy("k", "mer", "dataset_id").agg(F.sum("f").alias("f"))
     held = F.array_sort(F.collect_list(F.struct("dataset_id", "f")))  # at most one entry per dataset
     d = cut(n.groupBy("k", "mer").agg(held.alias("held"), F.sum("f").alias("total")).filter("total >= 2"))
     of = d.select("k", F.explode("held").alias("h")).groupBy("k", "h.dataset_id").agg(F.sum("h.f").alias("n"))

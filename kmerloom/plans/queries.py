@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators import index, kmers
 from kmerloom.operators.graph import Graph, stratum_frequency_by_dataset
-from kmerloom.sources.sequences import fastq, names, reads
+from kmerloom.sources.sequences import DNA, LETTERS, READ_LENGTH, READS_PER_DOCUMENT, fastq, names, reads
 
 K, K_FROM, K_TO, KMIN, NAME_KMIN, MIN_LENGTH = 20, 20, 60, 20, 2, 3
 
-READS = """reads AS (
-  SELECT doc_id AS seq_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS dataset_id,
-    regexp_replace(translate(lower(substr(text, 1, 200)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents)"""
+READS = f"""docs AS (
+  SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS dataset_id,
+    regexp_replace(translate(lower(text), '{LETTERS}', '{DNA}'), '[^ACGT]', '', 'g') AS letters FROM documents),
+reads AS (
+  SELECT doc_id * {READS_PER_DOCUMENT} + n AS seq_id, dataset_id, substr(letters, (n * {READ_LENGTH} + 1)::INT, {READ_LENGTH}) AS seq
+  FROM (SELECT *, unnest(range(0, (length(letters) + {READ_LENGTH - 1}) // {READ_LENGTH})) AS n FROM docs))"""
 NAMES = "reads AS (SELECT p_partkey AS seq_id, p_name AS seq FROM part)"
 
 
@@ -32,11 +35,13 @@ sa AS (SELECT row_number() OVER (ORDER BY suffix, seq_id) - 1 AS sa, * FROM suff
 
 
 def strata_sql(source: str, kmin: int) -> str:
-    """Everything of the graph, from all substrings of kmin characters or more."""
+    """Everything of the graph, from all substrings of kmin characters or more whose first kmin characters occur twice."""
     return f"""{source},
+places AS (SELECT seq_id, seq, p, substr(seq, (p + 1)::INT, {kmin}) AS seed, CASE WHEN p > 0 THEN substr(seq, p::INT, 1) END AS lc FROM (SELECT *, unnest(range(0, length(seq) - {kmin} + 1)) AS p FROM reads) a),
+seeds AS (SELECT seed FROM places GROUP BY seed HAVING count(*) > 1 AND count(DISTINCT coalesce(lc, '$' || seq_id)) > 1),
 subs AS (
-  SELECT seq_id, seq, p, n, substr(seq, (p + 1)::INT, n::INT) AS text, CASE WHEN p > 0 THEN substr(seq, p::INT, 1) END AS lc, CASE WHEN p + n < length(seq) THEN substr(seq, (p + n + 1)::INT, 1) END AS rc
-  FROM (SELECT *, unnest(range({kmin}, length(seq) - p + 1)) AS n FROM (SELECT *, unnest(range(0, length(seq) - {kmin} + 1)) AS p FROM reads) a) b),
+  SELECT seq_id, seq, p, n, substr(seq, (p + 1)::INT, n::INT) AS text, lc, CASE WHEN p + n < length(seq) THEN substr(seq, (p + n + 1)::INT, 1) END AS rc
+  FROM (SELECT *, unnest(range({kmin}, length(seq) - p + 1)) AS n FROM places SEMI JOIN seeds USING (seed)) b),
 strata AS (
   SELECT text, length(text)::INT AS size, count(*) AS freq, count(DISTINCT lc)::INT AS left_cnt, count(DISTINCT rc)::INT AS right_cnt, min({{'seq_id': seq_id, 'pos': p}}) AS s
   FROM subs GROUP BY text HAVING count(*) > 1 AND count(DISTINCT coalesce(lc, '$' || seq_id)) > 1 AND count(DISTINCT coalesce(rc, '$' || seq_id)) > 1),
@@ -135,7 +140,8 @@ QUERIES = {
     "graph_kmer_count_range": lambda s, d: read_graph(s, d).kmer_count(K_FROM, K_TO),
 }
 
-COUNT_RANGE = f"WITH {READS} SELECT k::INT AS k, count(DISTINCT mer) AS count FROM ({mers('k::INT', RANGE, 'k, ')}) GROUP BY k"
+COUNT_RANGE = f"""WITH {READS} SELECT ks.k::INT AS k, coalesce(n, 0) AS count FROM (SELECT unnest(range({K_FROM}, {K_TO + 1})) AS k) ks
+LEFT JOIN (SELECT k, count(DISTINCT mer) AS n FROM ({mers('k::INT', RANGE, 'k, ')}) GROUP BY k) c ON c.k = ks.k"""
 M_RANGE = f"WITH {READS}, m AS (SELECT DISTINCT k, mer FROM ({mers('k::INT', RANGE, 'k, ')})), {JUNCTIONS}"
 M_ONE = f"WITH {READS}, m AS (SELECT DISTINCT {K} AS k, mer FROM ({mers(str(K))})), {JUNCTIONS}"
 CHAINS = f"""WITH RECURSIVE {READS}, m AS (SELECT DISTINCT {K} AS k, mer FROM ({mers(str(K))})), {JUNCTIONS},

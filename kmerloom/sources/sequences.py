@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 DNA = "ACGTACGTACGTACGTACGTACGTAC"
+READ_LENGTH = 200
+READS_PER_DOCUMENT = 1 << 24  # more than a string of 2 GB has
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DNA-like reads (seq_id, dataset_id, seq): the first 200 characters of each document, as letters A, C, G and T."""
-    seq = F.regexp_replace(F.translate(F.lower(F.substring("text", 1, 200)), LETTERS, DNA), "[^ACGT]", "")
+    """DNA-like reads (seq_id, dataset_id, seq): each whole document as letters A, C, G and T, cut into reads.
+
+    Reads of a document don't overlap and leave nothing out; its last read may be shorter. A document without letters, or a
+    null one, has no read. seq_id is the document's id and the read's number in it.
+    """
+    letters = F.regexp_replace(F.translate(F.lower("text"), LETTERS, DNA), "[^ACGT]", "")
     dataset = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), dataset.alias("dataset_id"), seq.alias("seq"))
+    cuts = F.posexplode(F.regexp_extract_all(letters, F.lit(f".{{1,{READ_LENGTH}}}"), F.lit(0))).alias("n", "seq")
+    d = table(spark, sf_dir, "documents").select("doc_id", dataset.alias("dataset_id"), cuts)
+    return d.select((F.col("doc_id") * READS_PER_DOCUMENT + F.col("n")).alias("seq_id"), "dataset_id", "seq")
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
