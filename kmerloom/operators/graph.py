@@ -21,10 +21,11 @@ def repeated_occurrences(seqs: DataFrame, kmin: int) -> DataFrame:
     then so are its own, and it is no maximal repeat. What is left is few places even among near copies.
     """
     mers = occurrences(seqs.select("seq_id", "seq"), kmin)
-    context = F.coalesce("left", F.concat(F.lit("$"), F.col("seq_id").cast("string")))
-    twice = mers.groupBy("mer").agg(F.count("*").alias("n"), F.min(context).alias("l1"), F.max(context).alias("l2")).filter("n > 1 and l1 <> l2").select("mer")
-    at = mers.select("seq_id", "pos", "mer").join(twice, "mer").select("seq_id", "pos")
-    d = at.join(seqs.select("seq_id", "seq"), "seq_id")
+    context = F.coalesce(F.ascii("left").cast("long"), -1 - F.col("seq_id"))
+    twice = mers.select("mer", context.alias("l")).groupBy("mer").agg(F.count("*").alias("n"), F.min("l").alias("l1"), F.max("l").alias("l2")).filter("n > 1 and l1 <> l2").select("mer")
+    at = cut(mers.select("seq_id", "pos", "mer").join(twice, "mer").select("seq_id", "pos"))
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = at.join(seqs.select("seq_id", "seq"), "seq_id").repartition(n, "seq_id", "pos")  # small, but each row becomes many
     d = d.withColumn("size", F.explode(span(F.lit(kmin), F.length("seq") - F.col("pos"))))
     end = F.col("pos") + F.col("size")
     left = F.when(F.col("pos") > 0, F.substring("seq", F.col("pos"), F.lit(1)))
@@ -32,18 +33,24 @@ def repeated_occurrences(seqs: DataFrame, kmin: int) -> DataFrame:
     return d.select("seq_id", "pos", "size", F.substring("seq", F.col("pos") + 1, F.col("size")).alias("text"), left.alias("left"), right.alias("right"))
 
 
-def strata_of(occ: DataFrame) -> DataFrame:
-    """(text, size, freq, left_cnt, right_cnt, sample_seq_id, sample_pos) of the maximal repeats.
+def maximal_texts(occ: DataFrame) -> DataFrame:
+    """(text, freq) of the maximal repeats.
 
-    For maximality each sequence's begin and end is a context of its own; the counts are of letters only. All measures are
-    kept per task before the shuffle: the sets hold letters, and the contexts' smallest and greatest tell if they differ.
+    For maximality each sequence's begin and end is a context of its own. Contexts are numbers, a letter's code or a negative
+    one for the sequence, so that the greatest and the smallest are kept in a hash table per task before the shuffle.
     """
-    context = lambda c: F.coalesce(F.col(c), F.concat(F.lit("$"), F.col("seq_id").cast("string")))
+    context = lambda c: F.coalesce(F.ascii(c).cast("long"), -1 - F.col("seq_id"))
+    d = occ.select("text", context("left").alias("l"), context("right").alias("r"))
+    g = d.groupBy("text").agg(F.count("*").alias("freq"), F.min("l").alias("l1"), F.max("l").alias("l2"), F.min("r").alias("r1"), F.max("r").alias("r2"))
+    return g.filter("freq > 1 and l1 <> l2 and r1 <> r2").select("text", "freq")
+
+
+def strata_of(occ: DataFrame) -> DataFrame:
+    """(text, size, freq, left_cnt, right_cnt, sample_seq_id, sample_pos) from the maximal repeats' occurrences."""
     g = occ.groupBy("text").agg(
-        F.first("size").alias("size"), F.count("*").alias("freq"), F.size(F.collect_set("left")).alias("left_cnt"), F.size(F.collect_set("right")).alias("right_cnt"),
-        F.min(F.struct("seq_id", "pos")).alias("s"), F.min(context("left")).alias("l1"), F.max(context("left")).alias("l2"), F.min(context("right")).alias("r1"), F.max(context("right")).alias("r2"),
+        F.count("*").alias("freq"), F.size(F.collect_set("left")).alias("left_cnt"), F.size(F.collect_set("right")).alias("right_cnt"), F.min(F.struct("seq_id", "pos")).alias("s"),
     )
-    return g.filter("freq > 1 and l1 <> l2 and r1 <> r2").select("text", "size", "freq", "left_cnt", "right_cnt", F.col("s.seq_id").alias("sample_seq_id"), F.col("s.pos").alias("sample_pos"))
+    return g.select("text", F.length("text").alias("size"), "freq", "left_cnt", "right_cnt", F.col("s.seq_id").alias("sample_seq_id"), F.col("s.pos").alias("sample_pos"))
 
 
 def outermost(d: DataFrame, vertex: str) -> DataFrame:
@@ -61,8 +68,9 @@ class Graph:
     def __init__(self, seqs: DataFrame, kmin: int) -> None:
         self.kmin, self.seqs = kmin, seqs
         occ = repeated_occurrences(seqs, kmin)
-        self.strata = cut(strata_of(occ))
-        self.occ = cut(occ.join(self.strata.select("text"), "text", "left_semi").select("text", "seq_id", "pos", "size"))
+        of = cut(occ.join(maximal_texts(occ), "text", "left_semi"))
+        self.strata = cut(strata_of(of))
+        self.occ = of.select("text", "seq_id", "pos", "size")
 
     @classmethod
     def of_tables(cls, seqs: DataFrame, kmin: int, strata: DataFrame, occ: DataFrame) -> Graph:
