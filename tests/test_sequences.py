@@ -9,6 +9,7 @@ import pytest
 from kmerloom.operators import index, kmers
 from kmerloom.operators.graph import Graph
 from kmerloom.plans.queries import ORACLES, QUERIES
+from kmerloom.sources.sequences import DNA, LETTERS, READ_LENGTH, READS_PER_DOCUMENT, reads
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["TGCGATTA", "TGCAGTTA", "TGCAC", "CTTA"]
@@ -71,6 +72,28 @@ def test_random_graph_counts(spark):
     assert [r["count"] for r in Graph(s, 2).kmer_count(2, 14).orderBy("k").collect()] == want
 
 
+def test_random_kmer_counts(spark):
+    draw = random.Random(5)
+    seqs = ["".join(draw.choice("ACG") for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    seqs += seqs[:9] + ["A" * 40, "A" * 37, ""]
+    want = [len({x[i : i + k] for x in seqs for i in range(len(x) - k + 1)}) for k in range(3, 43)]
+    assert [r["count"] for r in kmers.kmer_count(frame(spark, seqs), 3, 42).orderBy("k").collect()] == want
+
+
+def test_reads_cover_whole_texts(spark, tmp_path):
+    texts = ["", None, "?!", "ab cd", "Xyz, " * 1000, "a" * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {}
+    for r in reads(spark, str(tmp_path)).orderBy("seq_id").collect():
+        assert 0 < len(r["seq"]) <= READ_LENGTH
+        parts.setdefault(r["seq_id"] // READS_PER_DOCUMENT, []).append(r["seq"])
+    code = str.maketrans(LETTERS, DNA)
+    want = {i: "".join(c for c in (t or "").lower() if c in LETTERS).translate(code) for i, t in enumerate(texts)}
+    assert {i: "".join(p) for i, p in parts.items()} == {i: t for i, t in want.items() if t}
+    assert len(parts[5]) == 2
+
+
 def test_empty(spark):
     s = spark.createDataFrame([], "seq_id long, seq string")
+    assert [tuple(r) for r in kmers.kmer_count(s, 3, 4).orderBy("k").collect()] == [(3, 0), (4, 0)]
     assert kmers.kmer_list(s, 3).count() == 0 and Graph(s, 2).edges().count() == 0 and kmers.overlap_degrees(s, 2, True).count() == 0
