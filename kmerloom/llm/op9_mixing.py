@@ -66,10 +66,13 @@ def cutoffs(docs: DataFrame, share: float, most: float) -> DataFrame:
     part = F.col("rate") - F.col("whole")
     last = F.floor(part * F.sum("n").over(upto) + F.col("v"))
     first = F.floor(part * (F.sum("n").over(upto) - F.col("n")) + F.col("v"))
-    groups = groups.select("*", (last - first).alias("drawn"))
+    groups = cut(groups.select("*", (last - first).alias("drawn")))
+    drawn = groups.select("_source", "_group", "drawn")
+    # a row for each source and bit length; broadcast while that is small, so that a group isn't one task's
+    drawn = F.broadcast(drawn) if groups.count() <= SMALL else drawn
     # fifteen hex digits make 60 bits; the first ten of them number the blocks
     order = ranked(base.select("_source", "_group", "_u"), ["_source", "_group"], F.shiftright("_u", 50), ["_u"])
-    chosen = order.join(groups.select("_source", "_group", "drawn"), ["_source", "_group"]).filter("rank < drawn")
+    chosen = order.join(drawn, ["_source", "_group"]).filter("rank < drawn")
     edge = chosen.groupBy("_source", "_group").agg(F.max("_u").alias("cutoff"))
     return cut(groups.join(edge, ["_source", "_group"], "left").select("_source", "_group", "source_size", "target", "whole", F.coalesce("cutoff", F.lit(-1)).alias("cutoff")))
 
