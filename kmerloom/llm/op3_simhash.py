@@ -62,10 +62,14 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fingerprint(texts: list[str | None], words: int, lanes: int = 1) -> np.ndarray:
     """Array of one row per text and one column per lane."""
-    each = [shingle_hashes(t, words) for t in texts]
+    return lanes_of([shingle_hashes(t, words) for t in texts], lanes)
+
+
+def lanes_of(each: list[np.ndarray], lanes: int) -> np.ndarray:
+    """Fingerprints of lists of hashes: a row per list, a column per lane."""
     starts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    out = np.zeros((len(texts), lanes), np.uint64)
+    out = np.zeros((len(each), lanes), np.uint64)
     for i in range(lanes):
         out[:, i] = majority(hashes, starts)
         if i + 1 < lanes:
@@ -112,6 +116,25 @@ def forest(f: np.ndarray, least_bytes: int, max_bits: int) -> list[tuple[int, in
     return out
 
 
+def nearest_forest(f: np.ndarray, least_bytes: int, max_bits: int) -> list[tuple[int, int]]:
+    """Like forest, but of all spanning forests the one with the fewest differing bits in total, grown by nearest ends."""
+    n = len(f)
+    left, near, via, out, at = np.arange(1, n), np.full(n - 1, 1 << 30), np.zeros(n - 1, np.int64), [], 0
+    while len(left):
+        x = f[left] ^ f[at]
+        bits = popcount(x)
+        bits[(x.view(np.uint8).reshape(len(left), -1) == 0).sum(1) < least_bytes] = 1 << 30
+        closer = bits < near
+        near[closer], via[closer] = bits[closer], at
+        k = int(near.argmin())
+        at = int(left[k])
+        if near[k] <= max_bits:
+            out.append((int(via[k]), at))
+        left[k], near[k], via[k] = left[-1], near[-1], via[-1]
+        left, near, via = left[:-1], near[:-1], via[:-1]
+    return out
+
+
 def simhash_fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
     """(doc_id, f0, f1 ...) of each row; signed 64-bit lanes. Null and blank texts have fingerprint zero."""
     text_batches(docs.sparkSession)
@@ -125,10 +148,9 @@ def simhash_fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
 
 
-def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], least_bytes: int, max_bits: int) -> DataFrame:
+def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], least_bytes: int, max_bits: int, run: int = RUN, span=forest) -> DataFrame:
     """(a, b) between nodes of the distinct fingerprints (node, f0 ...): a spanning forest of the links under each key."""
-    cols, n = [f"f{i}" for i in range(lanes)], partitions(classes)
-    width = len(plan[0])
+    cols, width = [f"f{i}" for i in range(lanes)], len(plan[0])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,12 +166,33 @@ def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], l
                 again = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.tile(b.column(i).to_numpy(), again)) for i in range(1 + lanes))], ["key", "node", *cols])
 
+    if width > 6 or len(plan) >= 1 << (63 - 8 * width):
+        raise ValueError("the plan's keys don't fit")
+    posted = classes.select("node", *cols).mapInArrow(post, ", ".join(["key long", "node long", *(f"{c} long" for c in cols)]))
+    found = cut(_links_under_keys(posted, lanes, least_bytes, max_bits, run, span))
+    hot = found.filter("beyond").select(F.col("b").alias("key"), F.col("a").alias("node"), *cols)
+    if lanes == 1:
+        rest = _beyond(hot.select("node", *cols).distinct(), lanes, max_bits)
+    else:
+        rest = _links_under_keys(_block_pairs(hot, run), lanes, least_bytes, max_bits, None, span).select("a", "b")
+    return found.filter("not beyond").select("a", "b").union(rest)
+
+
+def _links_under_keys(posted: DataFrame, lanes: int, least_bytes: int, max_bits: int, run: int | None, span=forest) -> DataFrame:
+    """(a, b, beyond, f0 ...) of postings (key, node, f0 ...).
+
+    A key with up to `run` postings (any number for None) gives a spanning forest of its links; a longer one gives its
+    postings back, with beyond true, the node as a and the key as b.
+    """
+    cols, n = [f"f{i}" for i in range(lanes)], partitions(posted)
+    run = run or 1 << 62
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key."""
         names = ["a", "b", "beyond", *cols]
 
         def beyond(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.nulls(len(rows), pa.int64()), pa.array(np.ones(len(rows), bool)), *(pa.array(rows[:, 2 + i].copy()) for i in range(lanes))], names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 0]), pa.array(np.ones(len(rows), bool)), *(pa.array(rows[:, 2 + i].copy()) for i in range(lanes))], names)
 
         def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             key = rows[:, 0]
@@ -160,7 +203,7 @@ def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], l
             two = two[linked(f[two], f[two + 1], least_bytes, max_bits)] if len(two) else two
             a, b = [rows[two, 1]], [rows[two + 1, 1]]
             for s, k in zip(starts[size > 2], size[size > 2]):
-                e = np.array(forest(f[s : s + k], least_bytes, max_bits), np.int64).reshape(-1, 2)
+                e = np.array(span(f[s : s + k], least_bytes, max_bits), np.int64).reshape(-1, 2)
                 a.append(rows[s + e[:, 0], 1])
                 b.append(rows[s + e[:, 1], 1])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -184,28 +227,39 @@ def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], l
                 continue
             last = int(np.searchsorted(held[:, 0], held[-1, 0]))
             ended, held = held[:last], held[last:]
-            yield from _long_runs(ended, edges, beyond)
-            if len(held) > RUN:
+            yield from _long_runs(ended, run, edges, beyond)
+            if len(held) > run:
                 hot = held[0, 0]
                 yield beyond(held)
                 held = held[:0]
-        yield from _long_runs(held, edges, beyond)
+        yield from _long_runs(held, run, edges, beyond)
 
-    if width > 6 or len(plan) >= 1 << (63 - 8 * width):
-        raise ValueError("the plan's keys don't fit")
-    posted = classes.select("node", *cols).mapInArrow(post, ", ".join(["key long", "node long", *(f"{c} long" for c in cols)]))
-    found = cut(posted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(runs, ", ".join(["a long", "b long", "beyond boolean", *(f"{c} long" for c in cols)])))
-    return found.filter("not beyond").select("a", "b").union(_beyond(found.filter("beyond").select(F.col("a").alias("node"), *cols).distinct(), lanes, max_bits))
+    shape = ", ".join(["a long", "b long", "beyond boolean", *(f"{c} long" for c in cols)])
+    return posted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(runs, shape)
 
 
-def _long_runs(rows: np.ndarray, edges, beyond) -> Iterator[pa.RecordBatch]:
-    """The edges of whole runs; a run over RUN goes on to the other way."""
+def _block_pairs(hot: DataFrame, run: int) -> DataFrame:
+    """Postings (key, node, f0 ...) of over-long runs, dealt to each pair of blocks of their run.
+
+    Blocks of about half a run are dealt by a hash of the node, and each pair of them is a key of its own, so a task
+    compares about `run` postings at once, whatever the run's length, and no pair of a run is left out. A posting is
+    copied once per block of its run.
+    """
+    cols = [c for c in hot.columns if c not in ("key", "node")]
+    many = hot.groupBy("key").agg(F.ceil(2 * F.count("*") / F.lit(run)).alias("_of"))
+    d = hot.join(many, "key").withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_of")))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    return d.select(F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other")).alias("key"), "node", *cols)
+
+
+def _long_runs(rows: np.ndarray, run: int, edges, beyond) -> Iterator[pa.RecordBatch]:
+    """The edges of whole keys; one with over `run` postings goes on to the other way."""
     if not len(rows):
         return
     _, start, size = np.unique(rows[:, 0], return_index=True, return_counts=True)
-    for s, k in zip(start[size > RUN], size[size > RUN]):
+    for s, k in zip(start[size > run], size[size > run]):
         yield beyond(rows[s : s + k])
-    yield from edges(rows[np.repeat(size <= RUN, size)] if (size > RUN).any() else rows)
+    yield from edges(rows[np.repeat(size <= run, size)] if (size > run).any() else rows)
 
 
 def _beyond(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
@@ -213,11 +267,10 @@ def _beyond(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
 
     Fingerprints within 2r bits of each other have a midpoint within r bits of both. Each fingerprint is posted under
     all values of a lane within r bits, and a posting's members all link to its smallest. Exact for one lane and at most
-    four bits; for several lanes it links what agrees within four bits in the first two lanes, and the drawn keys that
-    are not over-long find the rest.
+    four bits; runs of several lanes go to _block_pairs.
     """
-    if lanes == 1 and max_bits > 4:
-        raise ValueError("over-long runs need at most 4 bits in one lane")
+    if lanes > 1 or max_bits > 4:
+        raise ValueError("midpoints need one lane and at most 4 bits")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -227,19 +280,18 @@ def _beyond(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
         masks = np.concatenate([np.zeros(1, np.uint64), near1, pairs if r > 2 else pairs[:0]])
         for b in batches:
             node = b.column(0).to_numpy()
-            for i in range(min(lanes, 2)):
-                f = b.column(1 + i).to_numpy().view(np.uint64)
-                for s in range(0, len(f), 64):
-                    v = (f[s : s + 64, None] ^ masks[None, :]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, i, np.int32)), pa.array(v.ravel()), pa.array(np.repeat(node[s : s + 64], len(masks)))], ["lane", "v", "node"])
+            f = b.column(1).to_numpy().view(np.uint64)
+            for s in range(0, len(f), 64):
+                v = (f[s : s + 64, None] ^ masks[None, :]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), pa.array(np.repeat(node[s : s + 64], len(masks)))], ["v", "node"])
 
-    posted = hot.mapInArrow(near, "lane int, v long, node long")
+    posted = hot.mapInArrow(near, "v long, node long")
     # members of a posting meet through the posting itself: the smallest member is joined to every other
-    least = posted.groupBy("lane", "v").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
-    return posted.join(least, ["lane", "v"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    least = posted.groupBy("v").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
+    return posted.join(least, "v").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int = 4, plan: list[tuple[int, ...]] | None = None, least_bytes: int | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int = 4, plan: list[tuple[int, ...]] | None = None, least_bytes: int | None = None, run: int = RUN) -> DataFrame:
     """Fingerprint and group of each row of docs(doc_id, text): (doc_id, f0 ..., component_id).
 
     Rows with equal fingerprints form one class, which is compared once; classes link at max_bits or fewer differing bits,
@@ -253,25 +305,71 @@ def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: in
     plan = plan or plan_all(lanes, max_bits)
     prints = cut(simhash_fingerprints(docs, words, lanes).withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*cols)))
     classes = cut(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("rep")))
-    found = components(simhash_edges(classes, lanes, plan, len(plan[0]) if least_bytes is None else least_bytes, max_bits))
+    found = components(simhash_edges(classes, lanes, plan, len(plan[0]) if least_bytes is None else least_bytes, max_bits, run))
     roots = classes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = roots.select("node", "root").join(least, "root").select("node", "component_id")
     return prints.join(of_class, "node", "left").select("doc_id", *cols, "component_id")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 5, lanes: int = 4, max_bits: int = 46, many: int = 96) -> DataFrame:
-    """docs without all but the first (smallest doc_id) document of each group of near copies.
+def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The set of each text's shingle hashes, sorted, and one hash that names the set."""
+    sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64), sets
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, lanes: int = 4, max_bits: int = 56, many: int = 96, run: int = RUN) -> DataFrame:
+    """(doc_id, component_id) of each row of docs(doc_id, text) with a doc_id; sets of shingles link at similarity `least`.
+
+    Fingerprints of the sets, `lanes` times 64 bits, give the candidates. A similarity of 0.8 is a cosine of 0.89, so two
+    fingerprints of 256 bits then differ in 38 bits on average (standard deviation 6); candidates differ in at most 56.
+    Bits this many leave no byte guaranteed to agree, so the index posts `many` drawn triples of positional bytes, of which
+    a pair at similarity 0.8 shares one with probability 0.85, at 0.85 with 0.97 and at 0.9 with 0.999. Under each key
+    the candidates are thinned to the forest with the fewest differing bits, as a chain of nearer pairs stands for a
+    farther one. What is left is verified on the whole sets, so no pair below `least` links.
+
+    Equal sets form one class. Blank texts are one class. Ties: the smallest id. An empty table gives no rows.
+    """
+    cols = [f"f{i}" for i in range(lanes)]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    text_batches(docs.sparkSession)
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            node, sets = shingle_sets(b.column(1).to_pylist(), words)
+            f = lanes_of(sets, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), *(pa.array(f[:, i].copy()) for i in range(lanes))], ["doc_id", "node", *cols])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            node, sets = shingle_sets(b.column(0).to_pylist(), words)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "held"]).filter(pa.array(node == b.column(1).to_numpy()))
 
-    A similarity of 0.8 between sets of five-word shingles is a cosine of 0.89, so two fingerprints of 256 bits differ in
-    39 bits on average (standard deviation 6); links are drawn at 46 bits. Bits this many leave no byte guaranteed to
-    agree, so the index posts `many` drawn triples of positional bytes, of which a pair at similarity 0.8 shares one with
-    probability 0.85, at 0.85 with 0.97 and at 0.9 with 0.999.
+    prints = cut(given.mapInArrow(prints_of, ", ".join(["doc_id long", "node long", *(f"{c} long" for c in cols)])))
+    classes = cut(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("rep")))
+    found = simhash_edges(classes, lanes, plan_drawn(lanes, 3, many), 3, max_bits, run, nearest_forest)
+    near = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    asked = classes.join(ends, "node").select(F.col("rep").alias("doc_id"), "node")
+    sets = given.join(asked, "doc_id").select("text", "node").mapInArrow(sets_of, "node long, held array<long>")
+    sets = sets.groupBy("node").agg(F.first("held").alias("held"))
+    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    stars = components(pairs.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    roots = classes.select("node", "rep").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.select("doc_id", "node").join(roots.select("node", "root").join(first, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
+    """docs without all but the first (smallest doc_id) document of each of similar_groups' groups.
 
     Rows without doc_id stay. Of rows that repeat a doc_id one stays. Column names of docs are kept, others than doc_id
     and text are only carried.
     """
-    groups = simhash_groups(docs, words, lanes, max_bits, plan_drawn(lanes, 3, many), 3)
+    groups = similar_groups(docs, words, least, run=run)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

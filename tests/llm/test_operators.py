@@ -149,6 +149,16 @@ def test_simhash_dedup(odd):
     assert None in ids and 7 in ids and 8 not in ids and len(ids) == len(set(ids))
 
 
+def test_wide_fingerprints_of_over_long_runs(spark, odd):
+    text = LONG[:900]
+    near = [(100 + i, text.replace(f"x{i} ", f"y{i} "), None, None, None, None, None, None) for i in range(60)]
+    docs = odd.union(spark.createDataFrame(near, DOCS))
+    groups = lambda run: Counter(tuple(r) for r in op3_simhash.similar_groups(docs, run=run).collect())
+    whole = groups(op3_simhash.RUN)
+    assert groups(8) == whole
+    assert {c for i, c in whole if i >= 100} == {100} and op3_simhash.similar_groups(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
