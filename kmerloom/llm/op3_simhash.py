@@ -9,7 +9,6 @@ by counting the differing bits. With all combinations of `bytes - d` positions n
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +22,10 @@ from kmerloom.llm.common import components, cut, partitions, pieces_of, table, t
 
 #: Distinct fingerprints under one index key that a task compares at once. What lies beyond is linked by other means.
 RUN = 4096
+#: Documents of the sample that tells common shingles, at least and as a share; a common shingle's least share of it.
+SAMPLE, SAMPLE_SHARE, COMMON_SHARE = 5000, 0.01, 4e-4
+#: Common shingles that every task holds (under 2 MB).
+COMMON = 1 << 17
 #: Odd factors that turn one 64-bit hash into the hashes of further lanes (multiplication and xor-shift, a bijection each).
 MIX = tuple(int.from_bytes(xxhash.xxh64_digest(f"lane {i}", 7), "big") | 1 for i in range(16))
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -83,12 +86,6 @@ def plan_all(lanes: int, max_bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8 * lanes), 8 * lanes - max_bits))
 
 
-def plan_drawn(lanes: int, width: int, many: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """`many` drawn combinations of `width` byte positions; finds a link with the probability that one of them agrees."""
-    draw = random.Random(seed)
-    return [tuple(sorted(draw.sample(range(8 * lanes), width))) for _ in range(many)]
-
-
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
@@ -116,25 +113,6 @@ def forest(f: np.ndarray, least_bytes: int, max_bits: int) -> list[tuple[int, in
     return out
 
 
-def nearest_forest(f: np.ndarray, least_bytes: int, max_bits: int) -> list[tuple[int, int]]:
-    """Like forest, but of all spanning forests the one with the fewest differing bits in total, grown by nearest ends."""
-    n = len(f)
-    left, near, via, out, at = np.arange(1, n), np.full(n - 1, 1 << 30), np.zeros(n - 1, np.int64), [], 0
-    while len(left):
-        x = f[left] ^ f[at]
-        bits = popcount(x)
-        bits[(x.view(np.uint8).reshape(len(left), -1) == 0).sum(1) < least_bytes] = 1 << 30
-        closer = bits < near
-        near[closer], via[closer] = bits[closer], at
-        k = int(near.argmin())
-        at = int(left[k])
-        if near[k] <= max_bits:
-            out.append((int(via[k]), at))
-        left[k], near[k], via[k] = left[-1], near[-1], via[-1]
-        left, near, via = left[:-1], near[:-1], via[:-1]
-    return out
-
-
 def simhash_fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
     """(doc_id, f0, f1 ...) of each row; signed 64-bit lanes. Null and blank texts have fingerprint zero."""
     text_batches(docs.sparkSession)
@@ -318,27 +296,111 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, list[
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64), sets
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, lanes: int = 4, max_bits: int = 56, many: int = 96, run: int = RUN) -> DataFrame:
-    """(doc_id, component_id) of each row of docs(doc_id, text) with a doc_id; sets of shingles link at similarity `least`.
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that many documents of a sample have, sorted, and the rank of each, the most frequent last.
+
+    They are put last in the order that prefixes are cut by. Any order finds every pair; this one keeps runs short.
+    """
+    n = texts.count()
+    share = min(1.0, max(SAMPLE / max(1, n), SAMPLE_SHARE))
+    part = 1 << 30
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(part)) < int(part * share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column(0).to_pylist(), words)[1]).view(np.int64))], ["shingle"])
+
+    seen = drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    # of the most frequent ones at most COMMON reach the driver
+    found = seen.filter(F.col("n") >= max(2, int(n * share * COMMON_SHARE))).orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
+    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
+def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of each set as many of its rarest shingles that sets of similarity `least` must have one of them in common."""
+    hashes, rank = common
+    out = []
+    for x in sets:
+        if len(hashes) and len(x):
+            at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
+            r = np.where(hashes[at] == x, rank[at], 0)
+            x = x[np.argsort(r, kind="stable")] if r.any() else x
+        out.append(x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] if len(x) else x)
+    return out
+
+
+def admissible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows (key, node, size, place ...) can be of similarity `least` if the key is the first shingle they share."""
+    a, b = x[:, 2], y[:, 2]
+    most = 1 + np.minimum(a - x[:, 3], b - y[:, 3]) - 1
+    return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (most >= (a + b) * (least / (1 + least)) - 1e-9) & (x[:, 1] != y[:, 1])
+
 
-    Fingerprints of the sets, `lanes` times 64 bits, give the candidates. A similarity of 0.8 is a cosine of 0.89, so two
-    fingerprints of 256 bits then differ in 38 bits on average (standard deviation 6); candidates differ in at most 56.
-    Bits this many leave no byte guaranteed to agree, so the index posts `many` drawn triples of positional bytes, of which
-    a pair at similarity 0.8 shares one with probability 0.85, at 0.85 with 0.97 and at 0.9 with 0.999. Under each key
-    the candidates are thinned to the forest with the fewest differing bits, as a chain of nearer pairs stands for a
-    farther one. What is left is verified on the whole sets, so no pair below `least` links.
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy() for c in batch.columns], 1)
 
-    Equal sets form one class. Blank texts are one class. Ties: the smallest id. An empty table gives no rows.
+
+def _pairs_under_keys(posted: DataFrame, least: float) -> DataFrame:
+    """(a, b) of postings (key, node, size, place): each pair under each key that can be of similarity `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, size and node."""
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            at, d = np.arange(len(rows)), 0
+            while True:
+                d += 1
+                at = at[at + d < len(rows)]
+                # a run is sorted by size: what is too large here is so further on
+                at = at[(rows[at, 0] == rows[at + d, 0]) & (rows[at, 2] >= least * rows[at + d, 2] - 1e-9)]
+                if not len(at):
+                    return
+                ok = admissible(rows[at], rows[at + d], least)
+                if ok.any():
+                    x, y = rows[at[ok], 1], rows[at[ok] + d, 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _rows_of(batch)
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if last or (held and held[-1][-1, 0] != rows[0, 0]):
+                yield from pairs(np.concatenate([*held, rows[:last]]))
+                held = []
+            held.append(rows[last:])
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    return posted.repartition(partitions(posted), "key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_classes(docs: DataFrame, words: int, least: float, run: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id, none, h, node) of each row of docs(doc_id, text), and (node, root, rep) of each class of equal sets.
+
+    id, none and h name a row by its doc_id (0 for null), whether that is null, and a hash of the text. rep is the first
+    such name in the class; classes whose sets of shingles have similarity `least` or more have the same root, as have
+    those that chains of such pairs lead to.
+
+    Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
+    n - ceil(least * n) + 1 are posted, so two sets of similarity `least` share a posted shingle, and the first one they
+    share leaves room for enough more in both. Every candidate is verified on the whole sets.
     """
-    cols = [f"f{i}" for i in range(lanes)]
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = given.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
     text_batches(docs.sparkSession)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
-            node, sets = shingle_sets(b.column(1).to_pylist(), words)
-            f = lanes_of(sets, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), *(pa.array(f[:, i].copy()) for i in range(lanes))], ["doc_id", "node", *cols])
+            node, sets = shingle_sets(b.column(4).to_pylist(), words)
+            heads = prefixes(sets, least, common.value)
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            posted = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), posted], ["doc_id", "id", "none", "h", "node", "size", "head"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
@@ -347,20 +409,42 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, lanes: i
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "held"]).filter(pa.array(node == b.column(1).to_numpy()))
 
-    prints = cut(given.mapInArrow(prints_of, ", ".join(["doc_id long", "node long", *(f"{c} long" for c in cols)])))
-    classes = cut(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("rep")))
-    found = simhash_edges(classes, lanes, plan_drawn(lanes, 3, many), 3, max_bits, run, nearest_forest)
-    near = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    asked = classes.join(ends, "node").select(F.col("rep").alias("doc_id"), "node")
-    sets = given.join(asked, "doc_id").select("text", "node").mapInArrow(sets_of, "node long, held array<long>")
-    sets = sets.groupBy("node").agg(F.first("held").alias("held"))
-    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    stars = components(pairs.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b"))
-    roots = classes.select("node", "rep").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.select("doc_id", "node").join(roots.select("node", "root").join(first, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    def verified(near: DataFrame) -> DataFrame:
+        """The pairs (a, b) of near whose sets have similarity `least`."""
+        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        asked = classes.join(ends, "node").select("rep.*", "node")
+        sets = given.join(asked, ["none", "id", "h"]).select("text", "node").mapInArrow(sets_of, "node long, held array<long>")
+        sets = sets.groupBy("node").agg(F.first("held").alias("held"))
+        pairs = near.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return pairs.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    prints = cut(given.mapInArrow(prints_of, "doc_id long, id long, none boolean, h long, node long, size long, head array<long>"))
+    classes = cut(prints.groupBy("node").agg(F.min(F.struct("none", "id", "h")).alias("rep"), F.first("size").alias("size"), F.first("head").alias("head")))
+    posted = classes.select("node", "size", F.posexplode("head").alias("place", "key")).select("key", "node", "size", F.col("place").cast("long").alias("place"))
+    stars = components(verified(cut(near_pairs(posted, least, run))))
+    roots = classes.select("node", "rep").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    return prints.select("doc_id", "id", "none", "h", "node"), roots
+
+
+def near_pairs(posted: DataFrame, least: float, run: int) -> DataFrame:
+    """_pairs_under_keys, with the postings of over-long runs dealt to pairs of blocks."""
+    counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(posted.join(counts, "key"))
+    short = _pairs_under_keys(met.filter(F.col("n") <= run).drop("n"), least)
+    return short.union(_pairs_under_keys(_block_pairs(met.filter(F.col("n") > run).drop("n"), run), least)).distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
+    """(doc_id, component_id) of each row of docs(doc_id, text) with a doc_id; sets of shingles link at similarity `least`.
+
+    Equal sets form one class. Blank texts are one class. Ties: the smallest id. Rows without doc_id take part in links
+    but aren't returned. An empty table gives no rows.
+    """
+    prints, roots = similar_classes(docs, words, least, run)
+    first = roots.groupBy("root").agg(F.min("rep")["id"].alias("component_id"))
+    of_class = roots.select("node", "root").join(first, "root").select("node", "component_id")
+    return prints.filter("not none").select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:

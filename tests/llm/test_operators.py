@@ -159,6 +159,32 @@ def test_wide_fingerprints_of_over_long_runs(spark, odd):
     assert {c for i, c in whole if i >= 100} == {100} and op3_simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+def families(seed, many, members, length, changed):
+    """Texts of `many` bases, `members` versions of each with `changed` words drawn anew."""
+    draw, out = np.random.default_rng(seed), []
+    for f in range(many):
+        base = [f"b{f}w{i}" for i in range(length)]
+        for m in range(members):
+            w = list(base)
+            for i in draw.choice(length, changed, replace=False).tolist():
+                w[i] = f"b{f}m{m}c{i}"
+            out.append((len(out), " ".join(w)))
+    return out
+
+
+def brute_components(docs, least=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in docs)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return groups_of(len(sets), links), links
+
+
+def test_similar_groups_find_every_pair(spark):
+    docs = families(3, 150, 2, 200, 2)  # similarity 0.8 to 0.9: drawn keys lost some
+    want, links = brute_components(docs)
+    got = dict(op3_simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert len(links) > 100 and [got[i] for i, _ in docs] == want
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
