@@ -185,6 +185,14 @@ def test_similar_groups_find_every_pair(spark):
     assert len(links) > 100 and [got[i] for i, _ in docs] == want
 
 
+def test_similar_groups_of_large_families(spark):
+    docs = families(5, 4, 50, 200, 3)  # most pairs of a family are below 0.8, some only meet through a farther one
+    want, links = brute_components(docs)
+    for run in (op3_simhash.RUN, 8):
+        got = dict(op3_simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), run=run).collect())
+        assert 4 < len(set(want)) < 200 and [got[i] for i, _ in docs] == want
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
