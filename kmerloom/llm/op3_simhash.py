@@ -448,15 +448,16 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, run: int
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
-    """docs without all but the first (smallest doc_id) document of each of similar_groups' groups.
+    """docs without all but the first document of each of similar_classes' groups.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays. Column names of docs are kept, others than doc_id
-    and text are only carried.
+    First is the smallest doc_id, null after all others, then a hash of the text. Of rows that repeat a doc_id and its
+    text one stays. Column names of docs are kept, others than doc_id and text are only carried.
     """
-    groups = similar_groups(docs, words, least, run=run)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    _, roots = similar_classes(docs, words, least, run)
+    first = roots.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.none").alias("_none"), F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
+    named = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    keys = ["_none", "_id", "_h"]
+    return named.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,13 @@ def test_similar_groups_of_large_families(spark):
         assert 4 < len(set(want)) < 200 and [got[i] for i, _ in docs] == want
 
 
+def test_simhash_dedup_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (None, c), (None, a), (None, "d e f"), (None, "d e f")]
+    kept = op3_simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (3, c), (None, "d e f")], key=str)
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
