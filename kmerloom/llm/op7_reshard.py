@@ -7,10 +7,13 @@ between destinations fall among the smallest documents.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import cut, partitions, ranked, table
+from kmerloom.llm.common import cut, ranked, table
 
 SUB_BLOCKS = 256
 
@@ -58,9 +61,11 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[int] | None = None, key: F.Column | None = None) -> DataFrame:
     """A shard and a slot for each row of docs(doc_id, text, ...): (doc_id, size, text_crc32, old_shard, shard, slot).
 
+    With a `key`, which names a row alike each time docs are read, the result has it too, as row_key.
+
     size is the text's UTF-8 bytes plus 1. `old` tells each row's shard so far, from 0; a null one counts as 0. New
     shard j is the old shard j where there was one, and takes `capacities[j]` bytes, by default equal shares; a
     document that lies across a cut goes to the side that holds its middle. Slots are gapless from 0.
@@ -70,7 +75,8 @@ def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[i
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
-        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard")
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard"),
+        *([key.alias("row_key")] if key is not None else []),
     )
     base = cut(base.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")))
     sizes = {r["old_shard"]: r["s"] for r in base.groupBy("old_shard").agg(F.sum("size").alias("s")).collect()}
@@ -96,23 +102,46 @@ def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[i
     put = laid.join(table_of, "old_shard").withColumn("shard", F.filter("steps", lambda x: x["upper"] > middle)[0]["shard"]).drop("steps")
     put = cut(put)
     slots = ranked(put, ["shard"], F.pmod(F.xxhash64("h"), F.lit(16 * SUB_BLOCKS)).cast("int"), ["h", "doc_id", "text_crc32"])
-    return slots.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("rank").cast("long").alias("slot"))
+    return slots.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("rank").cast("long").alias("slot"), *(["row_key"] if key is not None else []))
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the files of the shards that gain or lose rows under path/shard=N; returns their numbers, at most one per shard.
 
-    docs and placed are joined by doc_id, so ids must be unique. Shards that nothing enters or leaves are not written.
+    docs and placed are joined by row_key if placed has it, else by doc_id, so ids must then be unique. Shards that
+    nothing enters or leaves are not written.
     """
+    key = "row_key" if "row_key" in placed.columns else "doc_id"
     moved = placed.filter("old_shard <> shard")
     affected = sorted({r[0] for r in moved.select("old_shard").union(moved.select("shard")).distinct().collect()})
-    target = docs.join(placed.filter(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
-    target.repartition(partitions(docs), "shard", F.pmod("slot", F.lit(4))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    target = docs.join(placed.filter(F.col("shard").isin(affected)).select(key, "shard", "slot"), key)
+    # a task writes a file for each shard that its rows go to, so that texts move once
+    target.drop("row_key").write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
 
 
+def resharded(docs: DataFrame, old: F.Column, shards: int, path: str) -> DataFrame:
+    """reshard, with the affected shards written under path and their rows' size and text_crc32 read from there.
+
+    docs has a row_key, which names a row alike each time docs are read, so null and repeated ids are written row by
+    row. Rows of shards that nothing enters or leaves are as they were.
+    """
+    placed = cut(reshard(docs, old, shards, key=F.col("row_key")))
+    affected = rewrite(docs.withColumn("old_shard", F.coalesce(old, F.lit(0)).cast("int")), placed, path)
+    same = placed.filter(~F.col("shard").isin(affected)).drop("row_key")
+    if not affected:
+        return same
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    written = docs.sparkSession.read.parquet(path).select(
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "old_shard", F.col("shard").cast("int"), "slot"
+    )
+    return same.select(*written.columns).union(written)
+
+
 def op7_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout has twelve shards by source, so a hot source makes one far too large."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn("row_key", F.struct("_metadata.file_path", "_metadata.row_index"))
     old = F.crc32(F.col("source").cast("binary")) % 12
-    return reshard(docs, old, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reshard-")
+    found = resharded(docs, old, 16, f"{shared}/reshard-{uuid.uuid4().hex}")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

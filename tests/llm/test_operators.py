@@ -280,6 +280,21 @@ def test_reshard(spark, odd, empty, tmp_path):
     assert written == [0, 1, 2] and {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in placed.collect()}
 
 
+def test_reshard_writes_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    rows = [(i // 3 if i % 4 else None, f"text {i % 7} " * (i % 5), "en", "a", 1) for i in range(60)] + [(None, None, "en", "a", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    paths = []
+    rewrite = op7_reshard.rewrite
+    monkeypatch.setattr(op7_reshard, "rewrite", lambda d, p, path: paths.append(path) or rewrite(d, p, path))
+    got = op7_reshard.op7_min_cost_resharding(spark, str(tmp_path)).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((r[0], crc(r[1])) for r in rows)
+    back = spark.read.parquet(*paths)
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in back.collect()) == Counter(rows)
+    assert Counter((r["doc_id"], crc(r["text"]), r["shard"], r["slot"]) for r in back.collect()) == Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in got)
+
+
 def test_classifier(spark, odd, empty, labels):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
