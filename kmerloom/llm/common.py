@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,28 +13,54 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a text batch handed to Python; bounds a worker's memory.
-TEXT_ROWS = 512
+BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Hand texts to Python in Arrow batches that a worker can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a local master gets a temporary folder as checkpoint folder; on a cluster that is an error, since
+    its machines wouldn't see each other's files.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
+    """Cut the lineage with a reliable checkpoint in the shared folder; keeps the partitions as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder. Spark then knows its size, and it is compressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,8 +101,20 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def stretches(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """raw in parts of about `size` bytes, cut at ASCII white space, so that no word is cut; a word may exceed `size`."""
+    at = 0
+    while len(raw) - at > size:
+        found = BLANK.search(raw, at + size)
+        if not found:
+            break
+        yield raw[at : found.end()]
+        at = found.end()
+    yield raw[at:] if at else raw
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about `most` bytes, one row at least."""
+    """The same rows in batches of at most about `most` bytes, one row at least. Bounds what a worker holds at once."""
     for b in batches:
         if b.nbytes <= most:
             if b.num_rows:
@@ -90,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges form stars. Each step is a minimum per node, which Spark
     sums up before the shuffle, and a join that adaptive execution can split, so a hub needs no large task. Each round is
-    checkpointed. Loops and null ends are ignored; without edges the result is empty.
+    written. Loops and null ends are ignored; without edges the result is empty.
     """
 
     def least(e: DataFrame, on: str, other: str) -> DataFrame:
@@ -113,10 +153,11 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = cut(tidy(edges.select("a", "b").filter("a is not null and b is not null")))
+    edges = stored(tidy(edges.select("a", "b").filter("a is not null and b is not null")))
     before = state(edges)
     while before[0]:
-        edges = cut(tidy(small(tidy(large(edges)))))
+        last, edges = edges, stored(tidy(small(tidy(large(edges)))))
+        remove(last)
         now = state(edges)
         if now == before:
             break

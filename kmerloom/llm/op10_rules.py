@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import coded, cut, pieces_of, split_words, sums, table, text_batches, utf8
+from kmerloom.llm.common import coded, cut, pieces_of, split_words, sums, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 #: Rules: the measure, votes bad outside the first range, good inside the second, if there is one; otherwise it abstains.
@@ -159,7 +159,6 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def rule_measures(docs: DataFrame) -> DataFrame:
     """(doc_id, base counts, pattern) of each row."""
-    text_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
@@ -202,7 +201,6 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     good = {p for p, x in known.items() if x >= least}
     column = docs.columns.index("text")
-    text_batches(spark, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, table, text_batches
+from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, table
 
 #: Distinct words whose ids a worker remembers.
 REMEMBER = 400_000
@@ -107,7 +107,6 @@ _READY: dict[str, Ids] = {}
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32) of the pieces of each row's text."""
-    text_batches(docs.sparkSession, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _READY:

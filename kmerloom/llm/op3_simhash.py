@@ -1,10 +1,13 @@
-"""SimHash near-duplicates found through an index of fingerprint bytes by position.
+"""SimHash near-duplicates found through an inverted index of fingerprint bytes by position.
 
-A fingerprint has one or more lanes of 64 bits. Two fingerprints that differ in few bits agree in many of their bytes:
-with at most d differing bits, at least (bytes - d) positions agree. The inverted index posts each distinct fingerprint
-under combinations of positional bytes instead of single bytes, so that only pairs that already share several bytes meet.
-For each such pair the shared positional bytes are tallied, pairs below the guaranteed minimum go, the rest is verified
-by counting the differing bits. With all combinations of `bytes - d` positions no link is lost.
+A fingerprint has 64 bits. Two of them that differ in at most d bits agree in at least 8 - d of their 8 bytes. Each distinct
+fingerprint is posted under its bytes at some positions, one position fewer than must agree and at most three. Of each pair
+that a list brings together the positional bytes that it shares are tallied, pairs below the guaranteed minimum go, and what
+is left is verified by counting the differing bits. A pair above the minimum shares every list whose positions it agrees in,
+so no link is lost.
+
+Lists that are too long for a task are dealt again by one more position each, up to the guaranteed minimum (a pair that
+reaches it agrees in one of these too), and what is still too long is compared block by block.
 """
 
 from __future__ import annotations
@@ -18,33 +21,48 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import components, cut, partitions, pieces_of, table, text_batches
+from kmerloom.llm.common import components, partitions, pieces_of, remove, stored, stretches, table
 
-#: Distinct fingerprints under one index key that a task compares at once. What lies beyond is linked by other means.
+#: Members of a list, or of a pair of blocks, that a task compares at once.
 RUN = 4096
+#: Bytes of a fingerprint, and positions of a list at most.
+BYTES, WIDTH = 8, 3
 #: Documents of the sample that tells common shingles, at least and as a share; a common shingle's least share of it.
 SAMPLE, SAMPLE_SHARE, COMMON_SHARE = 5000, 0.01, 4e-4
 #: Common shingles that every task holds (under 2 MB).
 COMMON = 1 << 17
-#: Odd factors that turn one 64-bit hash into the hashes of further lanes (multiplication and xor-shift, a bijection each).
-MIX = tuple(int.from_bytes(xxhash.xxh64_digest(f"lane {i}", 7), "big") | 1 for i in range(16))
+#: Pairs of one document that a task verifies at once, about.
+PARTNERS = 1024
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of `words` words, A-Z lower-cased; of the whole sequence if it is shorter."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
+def _hashes(found: list[bytes], words: int) -> np.ndarray:
     line = b" ".join(found)
     if len(found) <= words:
         return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = (ends - np.fromiter(map(len, found), np.int64, len(found)) - 1).tolist()
-    ends, digest = (ends - 1).tolist(), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1)
+    starts, ends, digest = (ends - sizes - 1).tolist(), (ends - 1).tolist(), xxhash.xxh64_intdigest
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(found) - words + 1)
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `words` words, A-Z lower-cased; of the whole sequence if it is shorter.
+
+    A long text is worked through in stretches of about a megabyte, each with the last words of the one before.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    for raw in stretches((text or "").encode()):
+        held += raw.lower().split()
+        if len(held) >= words:
+            out.append(_hashes(held, words))
+            held = held[len(held) - words + 1 :]
+    if not out:
+        return _hashes(held, words) if held else np.zeros(0, np.uint64)
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each text the 64 bits that over half of hashes[starts[i]:starts[i + 1]] have; zero for none."""
     n = np.diff(starts)
@@ -57,241 +75,243 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     counts = np.zeros((len(n), 64), np.int64)
     digits = hashes.view(np.uint8).reshape(-1, 8)
     for p in range(8):
-        lanes = np.add.reduceat(SPREAD[digits[:, p]], cuts).view(np.uint8).reshape(-1, 8)
-        np.add.at(counts[:, 8 * p : 8 * p + 8], owner, lanes)
+        eight = np.add.reduceat(SPREAD[digits[:, p]], cuts).view(np.uint8).reshape(-1, 8)
+        np.add.at(counts[:, 8 * p : 8 * p + 8], owner, eight)
     over = 2 * counts > n[:, None]
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprint(texts: list[str | None], words: int, lanes: int = 1) -> np.ndarray:
-    """Array of one row per text and one column per lane."""
-    return lanes_of([shingle_hashes(t, words) for t in texts], lanes)
-
-
-def lanes_of(each: list[np.ndarray], lanes: int) -> np.ndarray:
-    """Fingerprints of lists of hashes: a row per list, a column per lane."""
+def fingerprint(texts: list[str | None], words: int) -> np.ndarray:
+    """The fingerprint of each text."""
+    each = [shingle_hashes(t, words) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-    hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    out = np.zeros((len(each), lanes), np.uint64)
-    for i in range(lanes):
-        out[:, i] = majority(hashes, starts)
-        if i + 1 < lanes:
-            hashes = hashes * np.uint64(MIX[i])
-            hashes ^= hashes >> np.uint64(29)
-    return out
-
-
-def plan_all(lanes: int, max_bits: int) -> list[tuple[int, ...]]:
-    """Every combination of as many byte positions as must agree; finds each link."""
-    return list(combinations(range(8 * lanes), 8 * lanes - max_bits))
+    return majority(np.concatenate(each) if each else np.zeros(0, np.uint64), starts)
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+def guaranteed(max_bits: int) -> int:
+    """Positional bytes that fingerprints share which differ in at most so many bits."""
+    if not 0 <= max_bits < BYTES:
+        raise ValueError("fingerprints that differ in 8 bits need not share a byte")
+    return BYTES - max_bits
 
 
-def linked(a: np.ndarray, b: np.ndarray, least_bytes: int, max_bits: int) -> np.ndarray:
-    """Whether fingerprints share enough positional bytes and then differ in few enough bits. Broadcasts."""
+def linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether fingerprints share the guaranteed number of positional bytes, and then differ in few enough bits."""
     x = a ^ b
-    shared = (x.view(np.uint8).reshape(*x.shape[:-1], -1) == 0).sum(-1)
-    ok = shared >= least_bytes
-    ok[ok] = popcount(x[ok]) <= max_bits
+    tally = (x[..., None].view(np.uint8) == 0).sum(-1)
+    ok = tally >= guaranteed(max_bits)
+    ok[ok] = np.bitwise_count(x[ok]) <= max_bits
     return ok
 
 
-def forest(f: np.ndarray, least_bytes: int, max_bits: int) -> list[tuple[int, int]]:
+def forest(f: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges that connect what links connect, at most one per fingerprint."""
     left, out = np.arange(len(f)), []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            ok = linked(f[left], f[at][None, :], least_bytes, max_bits)
+            ok = linked(f[left], f[at], max_bits)
             found, left = left[ok], left[~ok]
             out += [(at, x) for x in found.tolist()]
             todo += found.tolist()
     return out
 
 
-def simhash_fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
-    """(doc_id, f0, f1 ...) of each row; signed 64-bit lanes. Null and blank texts have fingerprint zero."""
-    text_batches(docs.sparkSession)
+def simhash_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, f) of each row; f is a signed 64-bit number. Null and blank texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
-            f = fingerprint(b.column(1).to_pylist(), words, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i].copy()) for i in range(lanes))], ["doc_id", *(f"f{i}" for i in range(lanes))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint(b.column(1).to_pylist(), words).view(np.int64))], ["doc_id", "f"])
 
-    shape = ", ".join(["doc_id long", *(f"f{i} long" for i in range(lanes))])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
 
 
-def simhash_edges(classes: DataFrame, lanes: int, plan: list[tuple[int, ...]], least_bytes: int, max_bits: int, run: int = RUN, span=forest) -> DataFrame:
-    """(a, b) between nodes of the distinct fingerprints (node, f0 ...): a spanning forest of the links under each key."""
-    cols, width = [f"f{i}" for i in range(lanes)], len(plan[0])
+def _lists(prints: DataFrame, width: int) -> DataFrame:
+    """(key, node) of fingerprints `node`: each under every combination of `width` positions and its bytes there."""
+    plan = list(combinations(range(BYTES), width))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.stack([b.column(1 + i).to_numpy() for i in range(lanes)], 1) if b.num_rows else np.zeros((0, lanes), np.int64)
+            f = b.column("node").to_numpy()
             digits = np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1).astype(np.int64)
             for at in range(0, len(plan), 16):
-                keys = []
-                for i, where in enumerate(plan[at : at + 16], at):
-                    key = np.full(len(f), i, np.int64)
+                keys = [np.full(len(f), i, np.int64) for i in range(at, min(at + 16, len(plan)))]
+                for key, where in zip(keys, plan[at:]):
                     for p in where:
-                        key = (key << 8) | digits[:, p]
-                    keys.append(key)
-                again = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.tile(b.column(i).to_numpy(), again)) for i in range(1 + lanes))], ["key", "node", *cols])
-
-    if width > 6 or len(plan) >= 1 << (63 - 8 * width):
-        raise ValueError("the plan's keys don't fit")
-    posted = classes.select("node", *cols).mapInArrow(post, ", ".join(["key long", "node long", *(f"{c} long" for c in cols)]))
-    found = cut(_links_under_keys(posted, lanes, least_bytes, max_bits, run, span))
-    hot = found.filter("beyond").select(F.col("b").alias("key"), F.col("a").alias("node"), *cols)
-    if lanes == 1:
-        rest = _beyond(hot.select("node", *cols).distinct(), lanes, max_bits)
-    else:
-        rest = _links_under_keys(_block_pairs(hot, run), lanes, least_bytes, max_bits, None, span).select("a", "b")
-    return found.filter("not beyond").select("a", "b").union(rest)
-
-
-def _links_under_keys(posted: DataFrame, lanes: int, least_bytes: int, max_bits: int, run: int | None, span=forest) -> DataFrame:
-    """(a, b, beyond, f0 ...) of postings (key, node, f0 ...).
-
-    A key with up to `run` postings (any number for None) gives a spanning forest of its links; a longer one gives its
-    postings back, with beyond true, the node as a and the key as b.
-    """
-    cols, n = [f"f{i}" for i in range(lanes)], partitions(posted)
-    run = run or 1 << 62
+                        key <<= 8
+                        key |= digits[:, p]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(f, len(keys)))], ["key", "node"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key."""
-        names = ["a", "b", "beyond", *cols]
-
-        def beyond(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 0]), pa.array(np.ones(len(rows), bool)), *(pa.array(rows[:, 2 + i].copy()) for i in range(lanes))], names)
-
-        def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key = rows[:, 0]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(starts, len(key)))
-            f = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-            two = starts[size == 2]
-            two = two[linked(f[two], f[two + 1], least_bytes, max_bits)] if len(two) else two
-            a, b = [rows[two, 1]], [rows[two + 1, 1]]
-            for s, k in zip(starts[size > 2], size[size > 2]):
-                e = np.array(span(f[s : s + k], least_bytes, max_bits), np.int64).reshape(-1, 2)
-                a.append(rows[s + e[:, 0], 1])
-                b.append(rows[s + e[:, 1], 1])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool)), *(pa.nulls(len(a), pa.int64()) for _ in cols)], names)
-
-        held, hot = np.zeros((0, 2 + lanes), np.int64), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
-            if hot is not None:  # the rest of a run that was too long
-                more = rows[:, 0] == hot
-                if more.any():
-                    yield beyond(rows[more])
-                    rows = rows[~more]
-                if len(rows):
-                    hot = None
-            held = np.concatenate([held, rows])
-            if not len(held):
-                continue
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            ended, held = held[:last], held[last:]
-            yield from _long_runs(ended, run, edges, beyond)
-            if len(held) > run:
-                hot = held[0, 0]
-                yield beyond(held)
-                held = held[:0]
-        yield from _long_runs(held, run, edges, beyond)
+    return prints.select("node").mapInArrow(post, "key long, node long")
+
+
+def _longer_lists(long: DataFrame, width: int) -> DataFrame:
+    """Members (key, node) of lists by `width` positions, dealt by each further position."""
+    plan = list(combinations(range(BYTES), width))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, f = b.column("key").to_numpy(), b.column("node").to_numpy()
+            digits = np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1).astype(np.int64)
+            has = np.array([[p in where for p in range(BYTES)] for where in plan])[key >> (8 * width)]
+            for p in range(BYTES):
+                on = ~has[:, p]
+                # a list's positions and bytes, with one more position and its byte
+                name = np.array([xxhash.xxh64_intdigest(k.tobytes(), p) for k in np.stack([key[on], digits[on, p]], 1)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(f[on])], ["key", "node"])
+
+    return long.mapInArrow(post, "key long, node long")
 
-    shape = ", ".join(["a long", "b long", "beyond boolean", *(f"{c} long" for c in cols)])
-    return posted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(runs, shape)
 
+def _dealt(rows: DataFrame, of: str, by: str, name: str) -> DataFrame:
+    """rows with a number `name`: rows of one `of` are dealt by `by` into parts of about PARTNERS."""
+    many = rows.groupBy(of).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("_of")).filter("_of > 1")
+    return rows.join(many, of, "left").withColumn(name, F.coalesce(F.pmod(F.xxhash64(by), F.col("_of")), F.lit(0).cast("long"))).drop("_of")
 
-def _block_pairs(hot: DataFrame, run: int) -> DataFrame:
-    """Postings (key, node, f0 ...) of over-long runs, dealt to each pair of blocks of their run.
+
+def block_pairs(long: DataFrame, run: int) -> DataFrame:
+    """Members (key, node, ...) of over-long lists, dealt to each pair of blocks of their list.
 
     Blocks of about half a run are dealt by a hash of the node, and each pair of them is a key of its own, so a task
-    compares about `run` postings at once, whatever the run's length, and no pair of a run is left out. A posting is
-    copied once per block of its run.
+    compares about `run` members at once, whatever the list's length, and no pair of a list is left out. A member is copied
+    once per block of its list.
     """
-    cols = [c for c in hot.columns if c not in ("key", "node")]
-    many = hot.groupBy("key").agg(F.ceil(2 * F.count("*") / F.lit(run)).alias("_of"))
-    d = hot.join(many, "key").withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_of")))
+    rest = [c for c in long.columns if c not in ("key", "node")]
+    many = long.groupBy("key").agg(F.ceil(2 * F.count("*") / F.lit(run)).alias("_of"))
+    d = long.join(many, "key").withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_of")))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
-    return d.select(F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other")).alias("key"), "node", *cols)
+    return d.select(F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other")).alias("key"), "node", *rest)
 
 
-def _long_runs(rows: np.ndarray, run: int, edges, beyond) -> Iterator[pa.RecordBatch]:
-    """The edges of whole keys; one with over `run` postings goes on to the other way."""
-    if not len(rows):
-        return
-    _, start, size = np.unique(rows[:, 0], return_index=True, return_counts=True)
-    for s, k in zip(start[size > run], size[size > run]):
-        yield beyond(rows[s : s + k])
-    yield from edges(rows[np.repeat(size <= run, size)] if (size > run).any() else rows)
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy() for c in batch.columns], 1)
 
 
-def _beyond(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
-    """Links among fingerprints of over-long runs, without comparing pairs.
+def under_keys(posted: DataFrame, order: list[str], run: int | None, found) -> DataFrame:
+    """(a, b) that `found` yields for the members of each key of posted(key, node, ...), all numbers.
 
-    Fingerprints within 2r bits of each other have a midpoint within r bits of both. Each fingerprint is posted under
-    all values of a lane within r bits, and a posting's members all link to its smallest. Exact for one lane and at most
-    four bits; runs of several lanes go to _block_pairs.
+    Members come sorted, each node once. A key with more than `run` of them (None: no such) isn't compared: its members
+    are returned as rows with the key as `key`, the node as a, and the other columns.
     """
-    if lanes > 1 or max_bits > 4:
-        raise ValueError("midpoints need one lane and at most 4 bits")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        pairs = np.array([one[i] | one[j] for i in range(64) for j in range(i)], np.uint64)
-        r = min(max_bits, 4)
-        near1 = one if r else one[:0]
-        masks = np.concatenate([np.zeros(1, np.uint64), near1, pairs if r > 2 else pairs[:0]])
-        for b in batches:
-            node = b.column(0).to_numpy()
-            f = b.column(1).to_numpy().view(np.uint64)
-            for s in range(0, len(f), 64):
-                v = (f[s : s + 64, None] ^ masks[None, :]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), pa.array(np.repeat(node[s : s + 64], len(masks)))], ["v", "node"])
+    rest, n = [c for c in posted.columns if c not in ("key", "node")], partitions(posted)
+    names, most = ["a", "b", "key", *rest], run or 1 << 62
+
+    def over(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1].copy()), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0].copy()), *(pa.array(rows[:, 2 + i].copy()) for i in range(len(rest)))], names)
+
+    def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of keys that have all their members here."""
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])] if len(rows) else rows
+        if not len(rows):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        size = np.diff(np.append(starts, len(rows)))
+        for s, k in zip(starts[size > most], size[size > most]):
+            yield over(rows[s : s + k])
+        rows = rows[np.repeat((size > 1) & (size <= most), size)]
+        for a, b in found(rows) if len(rows) else ():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in (0, *rest))], names)
 
-    posted = hot.mapInArrow(near, "v long, node long")
-    # members of a posting meet through the posting itself: the smallest member is joined to every other
-    least = posted.groupBy("v").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
-    return posted.join(least, "v").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, long = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _rows_of(batch)
+            if long is not None:  # the rest of a key that has too many
+                more = rows[:, 0] == long
+                if more.any():
+                    yield over(rows[more])
+                    rows = rows[~more]
+                if not len(rows):
+                    continue
+                long = None
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if last or (held and held[-1][-1, 0] != rows[0, 0]):
+                yield from whole(np.concatenate([*held, rows[:last]]))
+                held, count = [], 0
+            held.append(rows[last:])
+            count += len(rows) - last
+            if count > most:
+                one = np.concatenate(held)
+                one = one[np.concatenate([[True], (one[1:, :2] != one[:-1, :2]).any(1)])]
+                held, count = [one], len(one)
+                if count > most:
+                    long = one[0, 0]
+                    yield over(one)
+                    held, count = [], 0
+        if held:
+            yield from whole(np.concatenate(held))
+
+    shape = ", ".join(f"{c} long" for c in names)
+    return posted.select("key", "node", *rest).repartition(n, "key").sortWithinPartitions("key", *order).mapInArrow(runs, shape)
+
+
+def simhash_edges(prints: DataFrame, max_bits: int, run: int = RUN) -> DataFrame:
+    """(a, b) among distinct fingerprints `node`: a spanning forest of the links of each list."""
+    least = guaranteed(max_bits)
+    width = max(1, min(WIDTH, least - 1))
+
+    def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        f = rows[:, 1].copy().view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        size = np.diff(np.append(starts, len(rows)))
+        two = starts[size == 2]
+        two = two[linked(f[two], f[two + 1], max_bits)] if len(two) else two
+        a, b = [two], [two + 1]
+        for s, k in zip(starts[size > 2], size[size > 2]):
+            e = np.array(forest(f[s : s + k], max_bits), np.int64).reshape(-1, 2)
+            a.append(s + e[:, 0])
+            b.append(s + e[:, 1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield rows[a, 1], rows[b, 1]
+
+    def links(posted: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        met = stored(under_keys(posted, ["node"], most, found))
+        return met.filter("b is not null").select("a", "b"), met.filter("b is null").select("key", F.col("a").alias("node"))
+
+    edges, long = links(_lists(prints, width), run)
+    if width < least:
+        more, long = links(_longer_lists(long, width), run)
+        edges = edges.union(more)
+    return edges.union(links(block_pairs(long, run), None)[0])
+
+
+def smallest_of_groups(classes: DataFrame, stars: DataFrame, of: str) -> DataFrame:
+    """(node, first) for each class (node, `of`): the least `of` among the classes that stars(node, root) put together.
+
+    Classes without a partner need no join by root. What has a root meets the table of roots, whose size is known, so that
+    the join is a broadcast or one whose large sides are split.
+    """
+    linked_ = stored(classes.select("node", of).join(stars, "node"))
+    least = stored(linked_.groupBy("root").agg(F.min(of).alias("first")))
+    together = linked_.join(least, "root").select("node", "first")
+    return classes.select("node", of).join(together, "node", "left").select("node", F.coalesce("first", of).alias("first"))
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int = 4, plan: list[tuple[int, ...]] | None = None, least_bytes: int | None = None, run: int = RUN) -> DataFrame:
-    """Fingerprint and group of each row of docs(doc_id, text): (doc_id, f0 ..., component_id).
+def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, run: int = RUN) -> DataFrame:
+    """Fingerprint and group of each row of docs(doc_id, text): (doc_id, f, component_id).
 
     Rows with equal fingerprints form one class, which is compared once; classes link at max_bits or fewer differing bits,
-    and component_id is the smallest doc_id that links lead to. By default the index finds every link.
+    and component_id is the smallest doc_id that links lead to. The index finds every link.
 
     Nulls and blank texts: fingerprint zero. A null doc_id takes part in links but names no group: component_id is null
     if a group has no other. Repeated rows, and rows that repeat a doc_id with another text, each get the group of their
-    own text. Ties: the smallest id. An empty table gives no rows. Other columns are not read.
+    own text. Ties: the smallest id. An empty table gives no rows. Other columns are not read. A worker holds one text, its
+    words of a megabyte, and 8 bytes for each of its shingles.
     """
-    cols = [f"f{i}" for i in range(lanes)]
-    plan = plan or plan_all(lanes, max_bits)
-    prints = cut(simhash_fingerprints(docs, words, lanes).withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*cols)))
-    classes = cut(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("rep")))
-    found = components(simhash_edges(classes, lanes, plan, len(plan[0]) if least_bytes is None else least_bytes, max_bits, run))
-    roots = classes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = roots.select("node", "root").join(least, "root").select("node", "component_id")
-    return prints.join(of_class, "node", "left").select("doc_id", *cols, "component_id")
+    prints = stored(simhash_fingerprints(docs, words))
+    classes = stored(prints.groupBy(F.col("f").alias("node")).agg(F.min("doc_id").alias("rep")))
+    stars = components(simhash_edges(classes, max_bits, run))
+    first = smallest_of_groups(classes, stars, "rep").select(F.col("node").alias("f"), F.col("first").alias("component_id"))
+    return prints.join(first, "f", "left").select("doc_id", "f", "component_id")
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The set of each text's shingle hashes, sorted, and one hash that names the set."""
+    """One hash that names the set of each text's shingle hashes, and the sets, sorted."""
     sets = [np.unique(shingle_hashes(t, words)) for t in texts]
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64), sets
 
@@ -332,107 +352,150 @@ def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.
 
 
 def admissible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows (key, node, size, place ...) can be of similarity `least` if the key is the first shingle they share."""
+    """Whether rows (key, node, size, place) can be of similarity `least` if the key is the first shingle they share."""
     a, b = x[:, 2], y[:, 2]
-    most = 1 + np.minimum(a - x[:, 3], b - y[:, 3]) - 1
-    return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (most >= (a + b) * (least / (1 + least)) - 1e-9) & (x[:, 1] != y[:, 1])
+    most = np.minimum(a - x[:, 3], b - y[:, 3])
+    return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (most >= (a + b) * (least / (1 + least)) - 1e-9)
 
 
-def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([c.to_numpy() for c in batch.columns], 1)
-
+class Similar:
+    """Classes of equal shingle sets of docs(doc_id, text), and the groups that similarity `least` makes of them.
 
-def _pairs_under_keys(posted: DataFrame, least: float) -> DataFrame:
-    """(a, b) of postings (key, node, size, place): each pair under each key that can be of similarity `least`."""
+    A row is named by its doc_id (0 for null), whether that is null, and a hash of its text: (none, id, h).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, size and node."""
+    Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
+    n - ceil(least * n) + 1 are posted, so two sets of similarity `least` share a posted shingle, and the first one they
+    share leaves room for enough more in both. Candidates are verified on the whole sets, in two rounds: first each class
+    against its first partner, then all pairs whose ends the first round's links don't join already. So none is left out
+    that could change a group.
+    """
 
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    KEYS = ("none", "id", "h")
+
+    def __init__(self, docs: DataFrame, words: int, least: float, run: int) -> None:
+        self.words, self.least = words, least
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.given = given.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+        self.common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
+        self.prints = stored(self._prints())
+        self.classes = stored(self.prints.groupBy("node").agg(F.min(F.struct(*self.KEYS)).alias("rep")))
+        near = self._near(run)
+        once = self._verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        stars, left = components(once), near
+        for end in ("a", "b"):
+            left = left.join(stars.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        # a pair within a group already adds nothing
+        more = self._verified(left.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b"))
+        remove(near)
+        self.stars = components(once.union(more))
+
+    def _prints(self) -> DataFrame:
+        """(none, id, h, node) of each row."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces_of(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shingle_sets(b.column(3).to_pylist(), words)[0])], ["none", "id", "h", "node"])
+
+        return self.given.mapInArrow(run, "none boolean, id long, h long, node long")
+
+    def _near(self, run: int) -> DataFrame:
+        """(a, b), a < b: the candidates."""
+        words, least, common = self.words, self.least, self.common
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # copies are posted once per task
+            for b in pieces_of(batches):
+                node, sets = shingle_sets(b.column(0).to_pylist(), words)
+                new = [i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]
+                heads = prefixes([sets[i] for i in new], least, common.value)
+                many = np.fromiter(map(len, heads), np.int64, len(heads))
+                if not many.sum():
+                    continue
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                size = np.repeat(np.array([len(sets[i]) for i in new]), many)
+                # size and place in one number, to move fewer bytes
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(node[new], many)), pa.array(size << 31 | place)], ["key", "node", "sp"])
+
+        def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Rows come sorted by key, size and place."""
+            rows = np.concatenate([rows[:, :2], rows[:, 2:] >> 31, rows[:, 2:] & ((1 << 31) - 1)], 1)
             at, d = np.arange(len(rows)), 0
             while True:
                 d += 1
                 at = at[at + d < len(rows)]
-                # a run is sorted by size: what is too large here is so further on
+                # what is too large here is so further on
                 at = at[(rows[at, 0] == rows[at + d, 0]) & (rows[at, 2] >= least * rows[at + d, 2] - 1e-9)]
                 if not len(at):
                     return
-                ok = admissible(rows[at], rows[at + d], least)
-                if ok.any():
-                    x, y = rows[at[ok], 1], rows[at[ok] + d, 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _rows_of(batch)
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if last or (held and held[-1][-1, 0] != rows[0, 0]):
-                yield from pairs(np.concatenate([*held, rows[:last]]))
-                held = []
-            held.append(rows[last:])
-        if held:
-            yield from pairs(np.concatenate(held))
-
-    return posted.repartition(partitions(posted), "key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_classes(docs: DataFrame, words: int, least: float, run: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, id, none, h, node) of each row of docs(doc_id, text), and (node, root, rep) of each class of equal sets.
-
-    id, none and h name a row by its doc_id (0 for null), whether that is null, and a hash of the text. rep is the first
-    such name in the class; classes whose sets of shingles have similarity `least` or more have the same root, as have
-    those that chains of such pairs lead to.
-
-    Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
-    n - ceil(least * n) + 1 are posted, so two sets of similarity `least` share a posted shingle, and the first one they
-    share leaves room for enough more in both. Every candidate is verified on the whole sets.
-    """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    given = given.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
-    text_batches(docs.sparkSession)
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
-
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches):
-            node, sets = shingle_sets(b.column(4).to_pylist(), words)
-            heads = prefixes(sets, least, common.value)
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            posted = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), posted], ["doc_id", "id", "none", "h", "node", "size", "head"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches):
-            node, sets = shingle_sets(b.column(0).to_pylist(), words)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node), held], ["node", "held"]).filter(pa.array(node == b.column(1).to_numpy()))
-
-    def verified(near: DataFrame) -> DataFrame:
-        """The pairs (a, b) of near whose sets have similarity `least`."""
-        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        asked = classes.join(ends, "node").select("rep.*", "node")
-        sets = given.join(asked, ["none", "id", "h"]).select("text", "node").mapInArrow(sets_of, "node long, held array<long>")
-        sets = sets.groupBy("node").agg(F.first("held").alias("held"))
-        pairs = near.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return pairs.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    prints = cut(given.mapInArrow(prints_of, "doc_id long, id long, none boolean, h long, node long, size long, head array<long>"))
-    classes = cut(prints.groupBy("node").agg(F.min(F.struct("none", "id", "h")).alias("rep"), F.first("size").alias("size"), F.first("head").alias("head")))
-    posted = classes.select("node", "size", F.posexplode("head").alias("place", "key")).select("key", "node", "size", F.col("place").cast("long").alias("place"))
-    stars = components(verified(cut(near_pairs(posted, least, run))))
-    roots = classes.select("node", "rep").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    return prints.select("doc_id", "id", "none", "h", "node"), roots
-
-
-def near_pairs(posted: DataFrame, least: float, run: int) -> DataFrame:
-    """_pairs_under_keys, with the postings of over-long runs dealt to pairs of blocks."""
-    counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(posted.join(counts, "key"))
-    short = _pairs_under_keys(met.filter(F.col("n") <= run).drop("n"), least)
-    return short.union(_pairs_under_keys(_block_pairs(met.filter(F.col("n") > run).drop("n"), run), least)).distinct()
+                on = at[admissible(rows[at], rows[at + d], least)]
+                if len(on):
+                    x, y = rows[on, 1], rows[on + d, 1]
+                    yield np.minimum(x, y), np.maximum(x, y)
+
+        posted = self.given.select("text").mapInArrow(post, "key long, node long, sp long")
+        met = stored(under_keys(posted, ["sp", "node"], run, found))
+        long = met.filter("b is null").select("key", F.col("a").alias("node"), "sp")
+        both = met.filter("b is not null").select("a", "b").union(under_keys(block_pairs(long, run), ["sp", "node"], None, found).select("a", "b"))
+        near = stored(both.filter("a <> b").distinct())
+        remove(met)
+        return near
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets have similarity `least`.
+
+        Sets are made again from the texts. Those of a's partners come to a's, whose set is held, one after the other; an a
+        with many partners has its set at several tasks. Each pair moves one set.
+        """
+        words, least = self.words, self.least
+        asked = stored(pairs)
+        pairs = _dealt(asked, "a", "b", "part")
+        at = _dealt(pairs.select(F.col("b").alias("node"), "a", "part").union(pairs.select(F.col("a").alias("node"), "a", "part").distinct()), "node", "a", "turn")
+        at = at.groupBy("node", "turn").agg(F.collect_list(F.struct("a", "part")).alias("at"))
+        # with its size known it is broadcast while small, so that texts needn't move
+        wanted = stored(self.classes.join(at, "node").select("rep.*", "node", "at"))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def batch(out: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "part", "partner", "node", "held"])
+
+            out, size = [], 0
+            for b in pieces_of(batches):
+                for text, node, at in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    held = np.unique(shingle_hashes(text, words)).astype("<u8").tobytes()
+                    for x in at:
+                        out.append((x["a"], x["part"], node != x["a"], node, held))
+                        size += len(held)
+                        if size > 4 << 20:
+                            yield batch(out)
+                            out, size = [], 0
+            if out:
+                yield batch(out)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, mine = None, np.zeros(0, np.uint64)
+            for batch in batches:
+                a, b = [], []
+                for x, partner, node, held in zip(*(batch.column(c).to_pylist() for c in ("a", "partner", "node", "held"))):
+                    other = np.frombuffer(held, "<u8")
+                    if not partner:  # comes first
+                        name, mine = x, other
+                        continue
+                    if name != x:
+                        raise ValueError("a partner without its set")
+                    at = np.minimum(np.searchsorted(mine, other), max(0, len(mine) - 1))
+                    shared = int((mine[at] == other).sum()) if len(mine) else 0
+                    if shared >= least * (len(mine) + len(other) - shared):
+                        a.append(x)
+                        b.append(node)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        rows = self.given.join(wanted, list(self.KEYS)).select("text", "node", "at").mapInArrow(sets, "a long, part long, partner boolean, node long, held binary")
+        rows = rows.repartition(partitions(rows), "a", "part").sortWithinPartitions("a", "part", "partner")
+        out = stored(rows.mapInArrow(compare, "a long, b long").distinct())
+        remove(asked, wanted)
+        return out
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
@@ -441,25 +504,32 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, run: int
     Equal sets form one class. Blank texts are one class. Ties: the smallest id. Rows without doc_id take part in links
     but aren't returned. An empty table gives no rows.
     """
-    prints, roots = similar_classes(docs, words, least, run)
-    first = roots.groupBy("root").agg(F.min("rep")["id"].alias("component_id"))
-    of_class = roots.select("node", "root").join(first, "root").select("node", "component_id")
-    return prints.filter("not none").select("doc_id", "node").join(of_class, "node").select("doc_id", "component_id")
+    found = Similar(docs, words, least, run)
+    first = smallest_of_groups(found.classes, found.stars, "rep").select("node", F.col("first.id").alias("component_id"))
+    return found.prints.filter("not none").join(first, "node").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, run: int = RUN) -> DataFrame:
-    """docs without all but the first document of each of similar_classes' groups.
+    """docs without all but the first document of each group of Similar.
 
     First is the smallest doc_id, null after all others, then a hash of the text. Of rows that repeat a doc_id and its
-    text one stays. Column names of docs are kept, others than doc_id and text are only carried.
+    text one stays. Column names of docs are kept, others than doc_id and text are only carried. A null text is blank, and
+    blank texts are one group. An empty table gives no rows. Texts aren't shuffled: rows that go, and the few that repeat
+    id and text, are named by small tables.
     """
-    _, roots = similar_classes(docs, words, least, run)
-    first = roots.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.none").alias("_none"), F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
-    named = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    keys = ["_none", "_id", "_h"]
-    return named.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    found = Similar(docs, words, least, run)
+    keys = [f"_{k}" for k in Similar.KEYS]
+    rows = found.prints.select("node", *(F.col(k).alias(f"_{k}") for k in Similar.KEYS))
+    first = found.classes.join(found.stars, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rep").alias("rep"))
+    first = first.select(*(F.col(f"rep.{k}").alias(f"_{k}") for k in Similar.KEYS))
+    named = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    gone = stored(named.join(first, keys, "left_anti").select(*keys))
+    again = stored(named.filter("n > 1").join(first, keys, "left_semi").select(*keys))
+    d = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    once = d.join(gone.union(again), keys, "left_anti")
+    return once.union(d.join(again, keys, "left_semi").dropDuplicates(keys)).select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_groups(table(spark, sf_dir, "documents"), words=4, lanes=1, max_bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    found = simhash_groups(table(spark, sf_dir, "documents"), words=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import coded, labelled_sample, pieces_of, split_words, table, text_batches
+from kmerloom.llm.common import coded, labelled_sample, pieces_of, split_words, table
 
 #: The fit takes about so many labelled rows, and none of more bytes than that. Grades cover all rows and whole texts.
 FIT_ROWS, FIT_BYTES = 8000, 16_384
@@ -165,7 +165,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     empty table gives no rows. Only the named columns are read.
     """
     model = train(docs, labels, rows)
-    text_batches(docs.sparkSession, 2048)
     shape = "doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import labelled_sample, pieces_of, table, text_batches, utf8
+from kmerloom.llm.common import labelled_sample, pieces_of, table, utf8
 
 WIDTH, FILTERS, HALF = 4, 16, 128
 #: The fit takes about so many labelled rows, and none of more bytes than that. Scores cover all rows and whole texts.
@@ -165,7 +165,6 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows: int =
     Without labels of both kinds every score is 0.5. An empty table gives no rows. Only the two named columns are read.
     """
     model = train(docs, labels, rows)
-    text_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
@@ -180,7 +179,6 @@ def keep_classified(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows
     """The rows of docs that score `least` or more, unchanged."""
     model = train(docs, labels, rows)
     column = docs.columns.index("text")
-    text_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):

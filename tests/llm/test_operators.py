@@ -118,30 +118,47 @@ def groups_of(n, links):
 
 
 @pytest.mark.parametrize("run", [4096, 3])
-def test_simhash(spark, odd, empty, run, monkeypatch):
+def test_simhash(spark, odd, empty, run):
     text = LONG[:900]
     near = [(100 + i, text.replace(f"x{i} ", f"y{i} "), None, None, None, None, None, None) for i in range(40)]
     docs = odd.union(spark.createDataFrame(near, DOCS))
     held = docs.collect()
     prints = [brute_print(r["text"]) for r in held]
-    if run == 4096:
-        got = op3_simhash.simhash_groups(docs).collect()
-    else:  # the way of over-long runs gives the same groups
-        f = np.array(sorted(set(prints)), np.uint64).view(np.int64)
-        hot = spark.createDataFrame([(int(x), int(x)) for x in f], "node long, f0 long")
-        found = {r["node"]: r["root"] for r in components(op3_simhash._beyond(hot, 1, 4)).collect()}
-        links = [(i, j) for i in range(len(f)) for j in range(i) if int(np.bitwise_count(f.view(np.uint64)[i] ^ f.view(np.uint64)[j])) <= 4]
-        want = groups_of(len(f), links)
-        names = [found.get(int(x), int(x)) for x in f]
-        assert len(set(zip(want, names))) == len(set(want)) == len(set(names))
-        return
-    assert Counter((r["doc_id"], r["f0"] & (1 << 64) - 1) for r in got) == Counter((r["doc_id"], p) for r, p in zip(held, prints))
+    got = op3_simhash.simhash_groups(docs, run=run).collect()  # with a run of 3 the ways of over-long lists are taken
+    assert Counter((r["doc_id"], r["f"] & (1 << 64) - 1) for r in got) == Counter((r["doc_id"], p) for r, p in zip(held, prints))
     root = groups_of(len(held), [(i, j) for i in range(len(held)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
     least = {g: min((r["doc_id"] for r, x in zip(held, root) if x == g and r["doc_id"] is not None), default=None) for g in root}
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r["doc_id"], least[g]) for r, g in zip(held, root))
     assert op3_simhash.simhash_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits, run", [(4, 4096), (4, 8), (2, 8), (6, 16), (0, 4096)])
+def test_simhash_index_finds_every_link(spark, bits, run):
+    draw = np.random.default_rng(bits)
+    base = draw.integers(0, 1 << 63, 60, np.uint64)
+    flips = [sum(1 << int(i) for i in draw.choice(64, draw.integers(0, bits + 3), replace=False)) for _ in range(240)]
+    f = np.unique(np.array([int(b) ^ m for b, m in zip(np.repeat(base, 4), flips)], np.uint64))
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= bits
+    prints = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "node long")
+    found = {r["node"]: r["root"] for r in components(op3_simhash.simhash_edges(prints, bits, run)).collect()}
+    names = [found.get(int(x), int(x)) for x in f.view(np.int64)]
+    want = groups_of(len(f), [tuple(x) for x in np.argwhere(np.tril(near, -1)).tolist()])
+    assert len(set(zip(want, names))) == len(set(want)) == len(set(names))
+
+
+def test_count_filter_rejects():
+    a, b = np.array([0, 0, 0], np.uint64), np.array([0x0101010101, 0x0F, 0x01010101], np.uint64)
+    assert op3_simhash.linked(a, b, 4).tolist() == [False, True, True]
+    assert op3_simhash.guaranteed(4) == 4
+
+
+def test_shingles_of_long_texts_in_stretches():
+    text = "".join(f"Word{i % 7919}\n" if i % 3 else f"\t x{i} " for i in range(400_000))
+    lower = [w.lower() for w in text.split()]
+    want = [xxhash.xxh64_intdigest(" ".join(lower[i : i + 4]).encode(), 42) for i in range(len(lower) - 3)]
+    assert op3_simhash.shingle_hashes(text, 4).tolist() == want
+
+
 def test_simhash_dedup(odd):
     kept = op3_simhash.simhash_dedup(odd)
     assert kept.columns == odd.columns
