@@ -1,21 +1,60 @@
-"""Lineage cuts and a global row number that no single task computes."""
+"""Lineage cuts, tables in the shared folder, and a global row number that no single task computes."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; in one of our own where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a local master gets a temporary folder as checkpoint folder; on a cluster that is an error, since
+    its machines wouldn't see each other's files.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; keeps the partitions as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder. Spark then knows its size, and it is compressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t.stored_at)
+
+
 def global_rank(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """df with its row number from 0 in this order: a range partitioning, and begins from one row per partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

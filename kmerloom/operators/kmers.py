@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.lineage import cut
-from kmerloom.functions.strings import common_prefix, mers_of_windows, occurrences, windows
+from kmerloom.functions.lineage import cut, global_rank, stored
+from kmerloom.functions.strings import common_prefix, mers_of_windows, occurrences, span, windows
 
 
 def kmer_list(seqs: DataFrame, k: int) -> DataFrame:
@@ -20,10 +20,12 @@ def kmer_chop(seqs: DataFrame, k: int) -> DataFrame:
 def kmer_count(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     """(k, count): distinct k-mers for each k of the range, at a cost that hardly grows with the number of ks.
 
-    Distinct windows of k_to characters are sorted, by ranges so that no prefix is one task's. The prefixes that a window
+    One k is a plain distinct count. For more, distinct windows of k_to characters are sorted, by ranges so that no prefix is one task's. The prefixes that a window
     doesn't share with the one before it are those first seen there: one interval of ks per window, added up over k.
     """
     spark = seqs.sparkSession
+    if k_from == k_to:
+        return kmer_list(seqs, k_from).agg(F.count("*").alias("count")).select(F.lit(k_from).alias("k"), "count")
     d = windows(seqs.select("seq").distinct(), k_from, k_to).distinct()
     d = cut(d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "w").withColumn("part", F.spark_partition_id()))
     last = d.groupBy("part").agg(F.max("w").alias("w"))  # a row per partition
@@ -36,12 +38,36 @@ def kmer_count(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     return ks.select("k", F.sum("n").over(Window.orderBy("k")).alias("count"))
 
 
+#: Letters that a 64-bit mask holds.
+MASK = 62
+
+
+def alphabet(seqs: DataFrame) -> list[str]:
+    """The distinct letters, if there are at most MASK; else an empty list."""
+    found = seqs.select(F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).distinct().limit(MASK + 1).collect()
+    return sorted(r["c"] for r in found if r["c"]) if len(found) <= MASK else []
+
+
 def junctions(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
-    """(k, v, l, r): for each (k-1)-mer the numbers of k-mers that end and that begin with it."""
-    distinct = windows(seqs.select("seq").distinct(), k_from, k_to).distinct()
-    mers = mers_of_windows(distinct, k_from, k_to).distinct()
-    ends = F.array(F.struct(F.expr("substring(mer, 1, k - 1)").alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r")), F.struct(F.expr("substring(mer, 2)").alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")))
-    return mers.select("k", F.explode(ends).alias("e")).groupBy("k", "e.v").agg(F.sum("e.l").alias("l"), F.sum("e.r").alias("r"))
+    """(k, v, l, r): for each (k-1)-mer the numbers of letters before and after it, that is, of k-mers that end and begin with it.
+
+    Letters are kept as bits, so that one aggregation, partly before the shuffle, does it; with a large alphabet as sets.
+    """
+    distinct = seqs.select("seq").distinct()
+    letters = "".join(alphabet(seqs))
+    d = distinct.select("seq", F.explode(span(F.lit(1), F.length("seq") - (k_from - 2))).alias("p"))
+    if k_from == k_to:
+        d = d.withColumn("k", F.lit(k_from))
+    else:
+        d = d.withColumn("k", F.explode(F.sequence(F.lit(k_from), F.least(F.lit(k_to), F.length("seq") - F.col("p") + 2))))
+    at = lambda p: F.substring("seq", p, F.lit(1))
+    before, after = F.when(F.col("p") > 1, at(F.col("p") - 1)), at(F.col("p") + F.col("k") - 1)
+    d = d.select("k", F.substring("seq", F.col("p"), F.col("k") - 1).alias("v"), before.alias("before"), F.when(after != "", after).alias("after"), F.lit(letters).alias("abc"))
+    if letters:
+        bits = lambda c, name: F.coalesce(F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, position({c}, abc))"))), F.lit(0)).cast("long").alias(name)
+    else:
+        bits = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
+    return d.groupBy("k", "v").agg(bits("before", "l"), bits("after", "r")).filter("l + r > 0")
 
 
 def unitig_count(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
@@ -56,6 +82,12 @@ def unitig_cases(seqs: DataFrame, k: int) -> DataFrame:
     return d.groupBy(case.alias("case")).agg(F.count("*").alias("junctions"), F.sum("r").alias("starts"))
 
 
+def pairs_of_datasets(seqs: DataFrame) -> DataFrame:
+    """(id1, id2), id1 < id2, of the samples in seqs, of which there are few."""
+    ids = sorted(r[0] for r in seqs.select("dataset_id").distinct().collect())
+    return seqs.sparkSession.createDataFrame([(a, b) for a in ids for b in ids if a < b], "id1 int, id2 int")
+
+
 def bray_curtis(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     """(id1, id2, k, nominator, denominator, value) for each pair of datasets id1 < id2.
 
@@ -69,8 +101,7 @@ def bray_curtis(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
     of = d.select("k", F.explode("held").alias("h")).groupBy("k", "h.dataset_id").agg(F.sum("h.f").alias("n"))
     pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> struct(x.dataset_id as id1, y.dataset_id as id2, least(x.f, y.f) as m))))")
     shared = d.select("k", F.explode(pairs).alias("p")).groupBy("k", "p.id1", "p.id2").agg(F.sum("p.m").alias("nominator"))
-    ids = seqs.select("dataset_id").distinct()
-    grid = ids.select(F.col("dataset_id").alias("id1")).join(ids.select(F.col("dataset_id").alias("id2")), F.expr("id1 < id2")).withColumn("k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to))))
+    grid = pairs_of_datasets(seqs).withColumn("k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to))))
     grid = grid.join(shared, ["k", "id1", "id2"], "left")
     for i in (1, 2):
         grid = grid.join(of.select("k", F.col("dataset_id").alias(f"id{i}"), F.col("n").alias(f"n{i}")), ["k", f"id{i}"], "left")
@@ -138,6 +169,37 @@ def unitig_edges(seqs: DataFrame, k: int) -> DataFrame:
     return out.join(u.select(F.col("content").alias("next_content"), F.expr(f"left(content, {k - 1})").alias("v")), "v").select("content", "next_content")
 
 
+def numbered_unitigs(seqs: DataFrame, k: int) -> DataFrame:
+    """(id, nexts, content, is_cycle): unitigs numbered by content, with the ids of those that can follow, in order."""
+    u = stored(global_rank(unitigs(seqs, k).select("content", "is_cycle"), ["content"], "id"))
+    on = u.select("id", F.expr(f"right(content, {k - 1})").alias("v")).join(u.select(F.col("id").alias("next"), F.expr(f"left(content, {k - 1})").alias("v")), "v")
+    nexts = on.groupBy("id").agg(F.array_sort(F.collect_list("next")).alias("nexts"))  # at most one per letter
+    return u.join(nexts, "id", "left").select("id", F.coalesce("nexts", F.array().cast("array<long>")).alias("nexts"), "content", "is_cycle")
+
+
+def unitig_lines(numbered: DataFrame) -> DataFrame:
+    """(id, line): each unitig as `id  nexts    content`."""
+    return numbered.select("id", F.concat(F.col("id").cast("string"), F.lit("  "), F.array_join("nexts", " "), F.lit("    "), F.col("content")).alias("line"))
+
+
+def unitig_invariants(seqs: DataFrame, k: int) -> DataFrame:
+    """(unitigs, edges_out, edges_in, missing_kmers, extra_kmers) of a compacted graph.
+
+    As many edges leave (k-1)-mers at the ends of unitigs as enter those at their beginnings, and the unitigs' k-mers are
+    the distinct k-mers, each once: the last two are 0.
+    """
+    u = stored(unitigs(seqs, k))
+    ends = u.select(F.expr(f"right(content, {k - 1})").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    begins = u.select(F.expr(f"left(content, {k - 1})").alias("v")).groupBy("v").agg(F.count("*").alias("m"))
+    met = ends.join(begins, "v").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("edges_out"))
+    into = begins.join(ends, "v").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("edges_in"))
+    mine = occurrences(u.select(F.col("content").alias("seq")), k).groupBy("mer").agg(F.count("*").alias("n"))
+    both = kmer_list(seqs, k).withColumn("there", F.lit(1)).join(mine, "mer", "full")
+    bad = both.agg(F.count_if(F.col("n").isNull()).alias("missing_kmers"), F.coalesce(F.sum(F.coalesce("n", F.lit(1)) - F.coalesce("there", F.lit(0))), F.lit(0)).alias("extra_kmers"))
+    one = [d.withColumn("_", F.lit(0)) for d in (u.agg(F.count("*").alias("unitigs")), met, into, bad)]  # one row each
+    return one[0].join(one[1], "_").join(one[2], "_").join(one[3], "_").drop("_")
+
+
 def overlap_degrees(seqs: DataFrame, min_length: int, allow_multi_edge: bool) -> DataFrame:
     """(seq_id, degree_in, degree_out): suffixes of one sequence that are prefixes of another.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.functions.lineage import global_rank, shared_folder
 from kmerloom.operators import index, kmers
-from kmerloom.operators.graph import Graph, stratum_frequency_by_dataset
-from kmerloom.sources.sequences import DNA, LETTERS, READ_LENGTH, READS_PER_DOCUMENT, fastq, names, reads
+from kmerloom.operators.graph import Graph, load, save, stratum_frequency_by_dataset
+from kmerloom.sources import files
+from kmerloom.sources.sequences import DNA, LETTERS, READ_LENGTH, READS_PER_DOCUMENT, names, reads
+from kmerloom.sources.sinks import write_text
 
 K, K_FROM, K_TO, KMIN, NAME_KMIN, MIN_LENGTH = 20, 20, 60, 20, 2, 3
 
@@ -64,14 +69,18 @@ def name_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(names(spark, d), NAME_KMIN)
 
 
-def read_graph(spark: SparkSession, d: str) -> Graph:
-    return Graph(reads(spark, d), KMIN)
+def read_graph(spark: SparkSession, d: str, kmin: int = KMIN) -> Graph:
+    return Graph(reads(spark, d), kmin)
 
 
 def bwt_of_names(spark: SparkSession, d: str) -> DataFrame:
     return index.bwt(names(spark, d))
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def fastq_lines(spark: SparkSession, d: str) -> DataFrame:
     """The reads as lines of a FASTQ file."""
     r = reads(spark, d)
@@ -79,14 +88,63 @@ def fastq_lines(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.lit("reads.fastq").alias("file"), "seq_id", F.posexplode(lines).alias("n", "value")).select("file", (F.col("seq_id") * 4 + F.col("n")).alias("line_no"), "value")
 
 
-def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
+def fastq_files(spark: SparkSession, d: str) -> DataFrame:
+    """The reads, written as FASTQ files and read again."""
+    path = folder(spark, "fastq")
+    record = F.concat(F.lit("@"), "seq_id", F.lit("\n"), F.lower("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    write_text(reads(spark, d).select(record.alias("record")), path, "record")
+    return files.read_fastq(spark, path).select("seq")
+
+
+def fasta_files(spark: SparkSession, d: str) -> DataFrame:
+    """The reads in lines of 70 letters, written as compressed FASTA files and read again."""
+    path = folder(spark, "fasta")
+    record = F.concat(F.lit(">"), "seq_id", F.lit("\n"), F.rtrim(F.regexp_replace(F.lower("seq"), "(.{70})", "$1\n")))
+    reads(spark, d).select(record.alias("value")).write.option("compression", "gzip").text(path)
+    return files.read_fasta(spark, path).select("seq")
+
+
+def ebwt_file(spark: SparkSession, d: str) -> DataFrame:
+    """The names' transform, written as one text file and read again."""
+    path = folder(spark, "ebwt")
+    whole = bwt_of_names(spark, d).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "ch"))), lambda x: x["ch"]), "").alias("value"))
+    write_text(whole, path, "value")
+    return files.read_ebwt(spark, f"{path}/part-*")
+
+
+def sample_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The names' suppliers' numbers modulo 4 as a sample-id file, read again and put to the names in order."""
+    path = folder(spark, "ids")
+    n = names(spark, d)
+    write_text(n.orderBy("seq_id").coalesce(1).select((F.col("seq_id") % 4).cast("string").alias("value")), path, "value")
+    of = files.read_sample_ids(spark, path, n.count())
+    return global_rank(n.select("seq_id"), ["seq_id"], "at").join(of, "at").select("seq_id", "dataset_id")
+
+
+def chopped(spark: SparkSession, d: str) -> DataFrame:
+    """The names' 4-mers, stored as text, a file per task, and read again."""
+    from kmerloom.sources.sinks import chop_and_store
 
-    from kmerloom.operators.graph import load, save
+    path = folder(spark, "chop")
+    chop_and_store(names(spark, d), 4, path)
+    return spark.read.text(path).select(F.col("value").alias("mer"))
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/graph-{uuid.uuid4().hex}"
+
+def stored_graph(spark: SparkSession, d: str) -> Graph:
+    path = folder(spark, "graph")
     save(name_graph(spark, d), path)
-    return load(spark, path, NAME_KMIN).summary()
+    return load(spark, path)
+
+
+def graph_kmers_stored(spark: SparkSession, d: str) -> DataFrame:
+    """From a graph of reads that was written and read again."""
+    path = folder(spark, "graph")
+    save(read_graph(spark, d), path)
+    return load(spark, path).kmer_count(K_FROM, K_TO)
+
+
+def rank_places(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 20_000, 997).select(F.col("id").alias("i"))
 
 
 def origins(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +159,15 @@ QUERIES = {
     "kmer_list": lambda s, d: kmers.kmer_list(reads(s, d), K),
     "kmer_chop": lambda s, d: kmers.kmer_chop(names(s, d), 4),
     "unitig_count_k": lambda s, d: kmers.unitig_count(reads(s, d), K, K).select("count"),
-    "unitig_count_range": lambda s, d: kmers.unitig_count(reads(s, d), K_FROM, K_TO),
+    "unitig_count_range": lambda s, d: read_graph(s, d, K_FROM - 1).unitig_count(K_FROM, K_TO),
+    "unitig_case_stats_graph": lambda s, d: read_graph(s, d).unitig_cases(K + 1),
     "unitig_case_stats": lambda s, d: kmers.unitig_cases(reads(s, d), K),
+    "graph_braycurtis_range": lambda s, d: read_graph(s, d).bray_curtis(K_FROM, K_TO),
     "braycurtis_range": lambda s, d: kmers.bray_curtis(reads(s, d), 10, 24),
     "cdbg_unitigs": lambda s, d: kmers.unitigs(reads(s, d), K).select("content", "is_cycle"),
     "cdbg_edges": lambda s, d: kmers.unitig_edges(reads(s, d), K),
+    "cdbg_graph": lambda s, d: kmers.unitig_lines(kmers.numbered_unitigs(reads(s, d), K)),
+    "cdbg_invariants": lambda s, d: kmers.unitig_invariants(reads(s, d), K),
     "overlap_degrees": lambda s, d: kmers.overlap_degrees(names(s, d), MIN_LENGTH, False),
     "overlap_degrees_multi": lambda s, d: kmers.overlap_degrees(names(s, d), MIN_LENGTH, True),
     "suffix_array": lambda s, d: index.suffix_array(names(s, d)).select("sa", "seq_id", "pos", "suffix"),
@@ -117,27 +179,40 @@ QUERIES = {
     "bwt_lf": lambda s, d: index.lf(bwt_of_names(s, d)),
     "bwt_recover": lambda s, d: index.recover(bwt_of_names(s, d)).select("seq"),
     "substr_access": lambda s, d: index.substring_access(names(s, d), 2, 6),
-    "src_fastq": lambda s, d: fastq(fastq_lines(s, d)).select("record", "seq"),
+    "src_ebwt_file": ebwt_file,
+    "bwt_ranks": lambda s, d: index.ranks_at(bwt_of_names(s, d), rank_places(s)),
+    "bwt_sizes": lambda s, d: index.sequence_count(bwt_of_names(s, d)),
+    "sa_locate": lambda s, d: index.locate(index.suffix_array(names(s, d)), rank_places(s).withColumnRenamed("i", "sa")),
+    "src_fastq": lambda s, d: files.fastq(fastq_lines(s, d)).select("record", "seq"),
+    "src_fastq_file": fastq_files,
+    "src_fasta_file": fasta_files,
+    "src_sample_ids": sample_ids,
+    "kmer_chop_stored": chopped,
+    "samples_merged": lambda s, d: files.merged_samples([names(s, d), names(s, d).filter("seq_id % 3 = 0")]),
     "origins_sorted": origins,
-    "maximal_repeats": lambda s, d: read_graph(s, d).strata.select("text", "size", "freq", "left_cnt", "right_cnt"),
-    "graph_build": lambda s, d: read_graph(s, d).edges(),
-    "stratum_frequency": lambda s, d: name_graph(s, d).strata.select("text", "freq"),
-    "stratum_frequency_by_dataset": lambda s, d: stratum_frequency_by_dataset(read_graph(s, d)),
-    "stratum_extensions": lambda s, d: name_graph(s, d).strata.select("text", "left_cnt", "right_cnt"),
-    "stratum_sample_occ": lambda s, d: name_graph(s, d).strata.select("text", "sample_seq_id", "sample_pos"),
-    "seq_regions": lambda s, d: name_graph(s, d).seq_edges(),
-    "stratum_regions": lambda s, d: name_graph(s, d).stratum_edges(),
-    "incoming_degree": lambda s, d: name_graph(s, d).incoming_degree(),
-    "stratum_parents": lambda s, d: name_graph(s, d).edges().filter(F.length("text") == 3).select("text", "kind", "vertex", "pos"),
-    "region_overlaps": lambda s, d: name_graph(s, d).overlaps(),
-    "vertex_spectrum": lambda s, d: name_graph(s, d).spectrum(3),
-    "refracted_ends": lambda s, d: name_graph(s, d).refracted_ends(3),
+    "maximal_repeats": lambda s, d: (lambda g: g.named(g.strata).select("text", "size", "freq", "left_cnt", "right_cnt"))(read_graph(s, d)),
+    "graph_build": lambda s, d: (lambda g: g.named(g.edges))(read_graph(s, d)),
+    "stratum_frequency": lambda s, d: (lambda g: g.named(g.strata).select("text", "freq"))(name_graph(s, d)),
+    "stratum_frequency_by_dataset": lambda s, d: (lambda g: g.named(stratum_frequency_by_dataset(g)))(read_graph(s, d)),
+    "stratum_extensions": lambda s, d: (lambda g: g.named(g.strata).select("text", "left_cnt", "right_cnt"))(name_graph(s, d)),
+    "stratum_sample_occ": lambda s, d: (lambda g: g.named(g.strata).select("text", "sample_seq_id", "sample_pos"))(name_graph(s, d)),
+    "seq_regions": lambda s, d: (lambda g: g.named(g.seq_edges()))(name_graph(s, d)),
+    "stratum_regions": lambda s, d: (lambda g: g.named(g.edges.filter("kind = 'stratum'")).withColumnRenamed("vertex", "parent").drop("kind"))(name_graph(s, d)),
+    "incoming_degree": lambda s, d: (lambda g: g.named(g.incoming_degree()))(name_graph(s, d)),
+    "stratum_parents": lambda s, d: (lambda g: g.named(g.parents()))(name_graph(s, d)),
+    "region_overlaps": lambda s, d: (lambda g: g.named(g.overlaps()))(name_graph(s, d)),
+    "vertex_spectrum": lambda s, d: (lambda g: g.named(g.spectrum(3)))(name_graph(s, d)),
+    "refracted_ends": lambda s, d: (lambda g: g.named(g.refracted_ends(3)))(name_graph(s, d)),
+    "sequence_vertex": lambda s, d: (lambda g: g.named(g.sequence(7, 3)))(stored_graph(s, d)),
+    "valid_indices": lambda s, d: (lambda g: g.named(g.valid_indices(3)))(name_graph(s, d)),
+    "end_edges": lambda s, d: (lambda g: g.named(g.neighbours(3)))(name_graph(s, d)),
+    "next_edges": lambda s, d: (lambda g: g.named(g.next_edges(3)))(name_graph(s, d)),
     "graph_summary": lambda s, d: name_graph(s, d).summary(),
-    "graph_roundtrip": graph_roundtrip,
+    "graph_roundtrip": lambda s, d: stored_graph(s, d).summary(),
     "graph_stat": lambda s, d: name_graph(s, d).stat(),
     "graph_size_by_kmin": lambda s, d: read_graph(s, d).size_by_kmin(),
     "graph_text": lambda s, d: name_graph(s, d).text_rows(),
-    "graph_kmer_count_range": lambda s, d: read_graph(s, d).kmer_count(K_FROM, K_TO),
+    "graph_kmer_count_range": graph_kmers_stored,
 }
 
 COUNT_RANGE = f"""WITH {READS} SELECT ks.k::INT AS k, coalesce(n, 0) AS count FROM (SELECT unnest(range({K_FROM}, {K_TO + 1})) AS k) ks
@@ -165,7 +240,44 @@ ORACLES = {
     "kmer_list": f"WITH {READS} SELECT DISTINCT mer FROM ({mers(str(K))})",
     "kmer_chop": f"WITH {NAMES} {mers('4', 'reads', 'seq_id, (p - 1)::INT AS pos, ')}",
     "unitig_count_k": f"{M_ONE} SELECT sum(r)::BIGINT AS count FROM j WHERE l <> 1 OR r <> 1",
-    "unitig_count_range": f"{M_RANGE} SELECT k::INT AS k, coalesce(sum(r) FILTER (l <> 1 OR r <> 1), 0)::BIGINT AS count FROM j GROUP BY k",
+    "unitig_count_range": f"""WITH {READS}, u AS (SELECT DISTINCT seq FROM reads),
+places AS (SELECT seq, p, substr(seq, p::INT, {K_FROM - 1}) AS seed FROM (SELECT seq, unnest(range(1, length(seq) - {K_FROM} + 3)) AS p FROM u)),
+seeds AS (SELECT seed FROM places GROUP BY seed HAVING count(*) > 1),
+once AS (SELECT seq FROM places ANTI JOIN seeds USING (seed) WHERE p = 1),
+ks AS (SELECT unnest(range({K_FROM}, {K_TO + 1})) AS k),
+alone AS (SELECT k, count(*) AS n FROM once JOIN ks ON length(seq) >= k GROUP BY k),
+subs AS (SELECT k, substr(seq, p::INT, (k - 1)::INT) AS v, CASE WHEN p > 1 THEN substr(seq, (p - 1)::INT, 1) END AS a, nullif(substr(seq, (p + k - 1)::INT, 1), '') AS b
+  FROM (SELECT seq, p FROM places SEMI JOIN seeds USING (seed)) JOIN ks ON p + k - 2 <= length(seq)),
+j AS (SELECT k, v, count(DISTINCT a) AS l, count(DISTINCT b) AS r FROM subs GROUP BY k, v),
+shared AS (SELECT k, sum(r) FILTER (l <> 1 OR r <> 1) AS n FROM j GROUP BY k)
+SELECT k::INT AS k, (coalesce(alone.n, 0) + coalesce(shared.n, 0))::BIGINT AS count FROM ks LEFT JOIN alone USING (k) LEFT JOIN shared USING (k)""",
+    "unitig_case_stats_graph": f"""WITH {READ_GRAPH}, v AS (
+  SELECT v.kind, v.vertex, v.size AS n, any_value(t.left_cnt) AS l, any_value(t.right_cnt) AS r, max(e."to") FILTER (e.pos = 0) AS f, max(e."to" - e.pos) FILTER (e."to" = v.size) AS b
+  FROM vertices v LEFT JOIN strata t ON v.kind = 'stratum' AND t.text = v.vertex LEFT JOIN edges e ON e.kind = v.kind AND e.vertex = v.vertex WHERE v.size >= {K} GROUP BY v.kind, v.vertex, v.size),
+w AS (SELECT *, coalesce(f < {K}, true) AS front, coalesce(b < {K}, true) AS back FROM v),
+c AS (
+  SELECT 'sequence tip' AS "case", 1 AS w FROM w WHERE kind = 'sequence' AND n > {K} AND front
+  UNION ALL SELECT CASE WHEN l = 0 THEN 'tip' ELSE 'convergence' END, 1 FROM w WHERE kind = 'stratum' AND n > {K} AND front AND l <> 1
+  UNION ALL SELECT 'divergence', r FROM w WHERE kind = 'stratum' AND n > {K} AND back AND r > 1
+  UNION ALL SELECT CASE WHEN l = 0 THEN 'whole tip' ELSE 'whole convergence' END, 1 FROM w WHERE kind = 'stratum' AND n = {K} AND r = 1 AND l <> 1
+  UNION ALL SELECT 'whole divergence', r FROM w WHERE kind = 'stratum' AND n = {K} AND r > 1)
+SELECT "case", sum(w)::BIGINT AS starts FROM c GROUP BY 1""",
+    "graph_braycurtis_range": f"""WITH {READS}, ks AS (SELECT unnest(range({K_FROM}, {K_TO + 1})) AS k),
+places AS (SELECT dataset_id, seq, p, substr(seq, p::INT, {K_FROM}) AS seed FROM (SELECT *, unnest(range(1, length(seq) - {K_FROM} + 2)) AS p FROM reads)),
+seeds AS (SELECT seed FROM places GROUP BY seed HAVING count(*) > 1),
+f AS (SELECT k, substr(seq, p::INT, k::INT) AS mer, dataset_id, count(*) AS f FROM (SELECT dataset_id, seq, p FROM places SEMI JOIN seeds USING (seed)) JOIN ks ON p + k - 1 <= length(seq) GROUP BY ALL),
+kept AS (SELECT *, sum(f) OVER (PARTITION BY k, mer) AS total FROM f QUALIFY total >= 2),
+of AS (SELECT k, dataset_id, sum(f)::BIGINT AS n FROM kept GROUP BY k, dataset_id),
+shared AS (SELECT a.k, a.dataset_id AS id1, b.dataset_id AS id2, sum(least(a.f, b.f))::BIGINT AS nom FROM kept a JOIN kept b ON a.k = b.k AND a.mer = b.mer AND a.dataset_id < b.dataset_id GROUP BY ALL),
+ids AS (SELECT DISTINCT dataset_id FROM reads),
+grid AS (SELECT a.dataset_id AS id1, b.dataset_id AS id2, k FROM ids a JOIN ids b ON a.dataset_id < b.dataset_id, ks)
+SELECT g.id1, g.id2, g.k::INT AS k, coalesce(nom, 0) AS nominator, coalesce(x.n, 0) + coalesce(y.n, 0) AS denominator, CASE WHEN denominator > 0 THEN 2.0::DOUBLE * coalesce(nom, 0) / denominator END AS value
+FROM grid g LEFT JOIN shared s ON s.k = g.k AND s.id1 = g.id1 AND s.id2 = g.id2 LEFT JOIN of x ON x.k = g.k AND x.dataset_id = g.id1 LEFT JOIN of y ON y.k = g.k AND y.dataset_id = g.id2""",
+    "cdbg_graph": f"""{CHAINS}, n AS (SELECT content, row_number() OVER (ORDER BY content) - 1 AS id FROM u),
+e AS (SELECT a.id, string_agg(b.id::VARCHAR, ' ' ORDER BY b.id) AS nexts FROM n a JOIN n b ON right(a.content, {K - 1}) = left(b.content, {K - 1}) GROUP BY a.id)
+SELECT n.id, n.id || '  ' || coalesce(nexts, '') || '    ' || content AS line FROM n LEFT JOIN e ON e.id = n.id""",
+    "cdbg_invariants": f"""{CHAINS}, e AS (SELECT count(*) AS n FROM u a JOIN u b ON right(a.content, {K - 1}) = left(b.content, {K - 1}))
+SELECT (SELECT count(*) FROM u) AS unitigs, n AS edges_out, n AS edges_in, 0::BIGINT AS missing_kmers, 0::BIGINT AS extra_kmers FROM e""",
     "unitig_case_stats": f"{M_ONE} SELECT CASE WHEN l = 0 THEN 'tip' WHEN l > 1 AND r > 1 THEN 'crossing' WHEN l > 1 THEN 'convergence' ELSE 'divergence' END AS \"case\", count(*) AS junctions, sum(r)::BIGINT AS starts FROM j WHERE (l <> 1 OR r <> 1) AND r > 0 GROUP BY 1",
     "braycurtis_range": f"""{FREQ},
 of AS (SELECT k, dataset_id, sum(f)::BIGINT AS n FROM kept GROUP BY k, dataset_id),
@@ -196,6 +308,19 @@ SELECT r.seq_id, coalesce(i.d, 0)::BIGINT AS degree_in, coalesce(o.d, 0)::BIGINT
     "bwt_lf": f"WITH {NAMES}, {SUFFIXES}, c AS (SELECT ch, coalesce(sum(count(*)) OVER (ORDER BY ch <> '$', ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM sa GROUP BY ch) SELECT sa AS i, sa.ch, c.c + row_number() OVER (PARTITION BY sa.ch ORDER BY sa) - 1 AS lf FROM sa JOIN c ON c.ch = sa.ch",
     "bwt_recover": f"WITH {NAMES} SELECT seq FROM reads",
     "substr_access": f"WITH {NAMES} SELECT seq_id, CASE WHEN length(seq) >= 8 THEN substr(seq, 3, 6) END AS piece FROM reads",
+    "src_ebwt_file": f"WITH {NAMES}, {SUFFIXES} SELECT sa AS i, ch FROM sa",
+    "bwt_ranks": f"WITH {NAMES}, {SUFFIXES}, a AS (SELECT unnest(range(0, 20000, 997)) AS i), l AS (SELECT DISTINCT ch FROM sa) SELECT a.i, l.ch, (SELECT count(*) FROM sa WHERE sa.sa < a.i AND sa.ch = l.ch) AS rank FROM a, l",
+    "bwt_sizes": f"WITH {NAMES} SELECT sum(length(seq) + 1)::BIGINT AS size, count(*) AS seq_cnt FROM reads",
+    "sa_locate": f"WITH {NAMES}, {SUFFIXES} SELECT sa, seq_id, pos::INT AS pos FROM sa WHERE sa % 997 = 0 AND sa < 20000",
+    "src_fastq_file": f"WITH {READS} SELECT seq FROM reads",
+    "src_fasta_file": f"WITH {READS} SELECT seq FROM reads",
+    "src_sample_ids": f"WITH {NAMES} SELECT seq_id, (seq_id % 4)::INT AS dataset_id FROM reads",
+    "kmer_chop_stored": f"WITH {NAMES} {mers('4', 'reads')}",
+    "samples_merged": f"WITH {NAMES} SELECT 0 AS dataset_id, seq_id, seq FROM reads UNION ALL SELECT 1, seq_id, seq FROM reads WHERE seq_id % 3 = 0",
+    "sequence_vertex": f"WITH {NAME_GRAPH} SELECT ord, pos, \"to\", text FROM edges WHERE kind = 'sequence' AND vertex = '7' AND \"to\" - pos >= 3",
+    "valid_indices": f"WITH {NAME_GRAPH} SELECT kind, vertex, ord FROM edges WHERE \"to\" - pos >= 3",
+    "end_edges": f"WITH {NAME_GRAPH} SELECT v.kind, v.vertex, min(ord) AS first, max(ord) AS last FROM vertices v LEFT JOIN (SELECT * FROM edges WHERE \"to\" - pos >= 3) e ON e.kind = v.kind AND e.vertex = v.vertex GROUP BY v.kind, v.vertex",
+    "next_edges": f"WITH {NAME_GRAPH} SELECT kind, vertex, ord, min(CASE WHEN \"to\" - pos >= 3 THEN ord END) OVER (PARTITION BY kind, vertex ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, max(CASE WHEN \"to\" - pos >= 3 THEN ord END) OVER (PARTITION BY kind, vertex ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM edges",
     "src_fastq": f"WITH {READS} SELECT seq_id AS record, upper(lower(seq)) AS seq FROM reads",
     "origins_sorted": f"WITH {READS} SELECT seq, (dataset_id + 1)::INT AS origin FROM reads",
     "maximal_repeats": f"WITH {READ_GRAPH} SELECT text, size, freq, left_cnt, right_cnt FROM strata",
@@ -207,7 +332,7 @@ SELECT r.seq_id, coalesce(i.d, 0)::BIGINT AS degree_in, coalesce(o.d, 0)::BIGINT
     "seq_regions": f"WITH {NAME_GRAPH} SELECT * FROM seq_edges",
     "stratum_regions": f"WITH {NAME_GRAPH} SELECT * FROM stratum_edges",
     "incoming_degree": f"WITH {NAME_GRAPH} SELECT text, count(*) AS degree FROM edges GROUP BY text",
-    "stratum_parents": f"WITH {NAME_GRAPH} SELECT text, kind, vertex, pos FROM edges WHERE length(text) = 3",
+    "stratum_parents": f"WITH {NAME_GRAPH} SELECT text, kind, vertex, pos FROM edges",
     "region_overlaps": f"WITH {NAME_GRAPH} SELECT kind, vertex, ord, coalesce(greatest(lag(\"to\") OVER (PARTITION BY kind, vertex ORDER BY ord) - pos, 0), 0) AS overlap FROM edges",
     "vertex_spectrum": f"""WITH {NAME_GRAPH}, e AS (SELECT * FROM edges WHERE "to" - pos >= 3),
 gaps AS (

@@ -1,4 +1,4 @@
-"""Where sequences come from: tables, FASTA and FASTQ text, Burrows-Wheeler transforms."""
+"""Sequences made from tables."""
 
 from __future__ import annotations
 
@@ -31,31 +31,3 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as short sequences with many repeats."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
-
-
-def fastq(lines: DataFrame) -> DataFrame:
-    """(record, seq) from lines(file, line_no from 0, value): the second of each four lines, upper-cased."""
-    return lines.filter(F.col("line_no") % 4 == 1).select("file", F.floor(F.col("line_no") / 4).alias("record"), F.upper("value").alias("seq"))
-
-
-def fasta(lines: DataFrame) -> DataFrame:
-    """(file, record, seq) from lines(file, line_no, value): lines between headers joined, upper-cased."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy("line_no")
-    head = F.col("value").startswith(">")
-    d = lines.withColumn("record", F.sum(head.cast("int")).over(w) - 1).filter(~head)
-    parts = F.sort_array(F.collect_list(F.struct("line_no", "value")))
-    return d.groupBy("file", "record").agg(F.upper(F.array_join(F.transform(parts, lambda x: x["value"]), "")).alias("seq"))
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files, compressed ones too; each file is one split, as a gzip file is anyway."""
-    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return d.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "value"))
-
-
-def read_ebwt(spark: SparkSession, path: str) -> DataFrame:
-    """(i, ch) from a text file that holds one transform."""
-    d = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "\\s+$", "")).alias("value"))
-    return d.select(F.posexplode(F.split("value", "")).alias("i", "ch")).filter("ch <> ''").select(F.col("i").cast("long"), "ch")

@@ -6,9 +6,12 @@ from collections import Counter
 import duckdb
 import pytest
 
+from kmerloom import cli
 from kmerloom.operators import index, kmers
 from kmerloom.operators.graph import Graph
+from kmerloom.operators.repeats import common, intervals
 from kmerloom.plans.queries import ORACLES, QUERIES
+from kmerloom.sources import files
 from kmerloom.sources.sequences import DNA, LETTERS, READ_LENGTH, READS_PER_DOCUMENT, reads
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +34,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["kmer_count_range", "unitig_case_stats", "overlap_degrees", "overlap_degrees_multi", "graph_build", "vertex_spectrum", "graph_kmer_count_range", "cdbg_unitigs", "bwt_recover"])
+@pytest.mark.parametrize("name", ["kmer_count_range", "unitig_case_stats", "overlap_degrees", "overlap_degrees_multi", "graph_build", "vertex_spectrum", "graph_kmer_count_range", "cdbg_unitigs", "cdbg_graph", "bwt_recover", "bwt_ranks", "unitig_count_range", "unitig_case_stats_graph", "graph_braycurtis_range", "src_fastq_file", "src_fasta_file", "src_ebwt_file", "src_sample_ids"])
 def test_against_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -45,10 +48,11 @@ def test_every_query_has_sql():
 
 def test_golden_sample(spark):
     s = frame(spark, SAMPLE)
-    strata = {r["text"]: (r["freq"], r["left_cnt"], r["right_cnt"]) for r in Graph(s, 1).strata.collect()}
+    g = Graph(s, 1)
+    strata = {r["text"]: (r["freq"], r["left_cnt"], r["right_cnt"]) for r in g.named(g.strata).collect()}
     assert strata == {"A": (6, 3, 3), "C": (5, 2, 3), "G": (5, 3, 3), "T": (9, 4, 3), "TGC": (3, 0, 2), "TTA": (3, 3, 0), "TGCA": (2, 0, 2)}
     assert [r["count"] for r in kmers.kmer_count(s, 1, 8).orderBy("k").collect()] == [4, 12, 12, 12, 9, 6, 4, 2]
-    assert [r["count"] for r in Graph(s, 1).kmer_count(1, 8).orderBy("k").collect()] == [4, 12, 12, 12, 9, 6, 4, 2]
+    assert [r["count"] for r in g.kmer_count(1, 8).orderBy("k").collect()] == [4, 12, 12, 12, 9, 6, 4, 2]
     assert [r["count"] for r in kmers.unitig_count(s, 2, 8).orderBy("k").collect()] == [12, 7, 5, 3, 2, 2, 2]
 
 
@@ -96,4 +100,157 @@ def test_reads_cover_whole_texts(spark, tmp_path):
 def test_empty(spark):
     s = spark.createDataFrame([], "seq_id long, seq string")
     assert [tuple(r) for r in kmers.kmer_count(s, 3, 4).orderBy("k").collect()] == [(3, 0), (4, 0)]
-    assert kmers.kmer_list(s, 3).count() == 0 and Graph(s, 2).edges().count() == 0 and kmers.overlap_degrees(s, 2, True).count() == 0
+    assert kmers.kmer_list(s, 3).count() == 0 and Graph(s, 2).edges.count() == 0 and kmers.overlap_degrees(s, 2, True).count() == 0
+
+
+def brute_strata(seqs, kmin):
+    """{text: (freq, left_cnt, right_cnt)} of the maximal repeats."""
+    at = {}
+    for i, s in enumerate(seqs):
+        for p in range(len(s)):
+            for n in range(kmin, len(s) - p + 1):
+                at.setdefault(s[p : p + n], []).append((s[p - 1] if p else -1 - i, s[p + n] if p + n < len(s) else -1 - i))
+    out = {}
+    for t, held in at.items():
+        left, right = ({x[k] for x in held} for k in (0, 1))
+        # each sequence's begin and end is a context of its own
+        if len(held) > 1 and (len(left) > 1) and (len(right) > 1):
+            out[t] = (len(held), *(sum(isinstance(c, str) for c in x) for x in (left, right)))
+    return out
+
+
+def random_sets(seed, many):
+    draw = random.Random(seed)
+    for _ in range(many):
+        letters = draw.choice(["AC", "ACGT"])
+        base = "".join(draw.choice(letters) for _ in range(60))
+        seqs = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 25))) for _ in range(10)]
+        seqs += [base, base, base[5:50], base[:30] + "C" + base[30:], base[20:] + base[:20], "A" * 17, "AC" * 9, seqs[0], ""]
+        yield draw.randint(2, 4), seqs
+
+
+def test_strata_of_random_sets(spark):
+    for kmin, seqs in random_sets(11, 2):
+        g = Graph(frame(spark, seqs), kmin)
+        got = {r["text"]: (r["freq"], r["left_cnt"], r["right_cnt"]) for r in g.named(g.strata).collect()}
+        assert got == brute_strata(seqs, kmin)
+        places = Counter((r["text"], r["seq_id"], r["pos"]) for r in g.named(g.occ).collect())
+        assert places == Counter((t, i, p) for i, s in enumerate(seqs) for t in got for p in range(len(s)) if s.startswith(t, p))
+
+
+def starts(seqs, k):
+    """k-mers after a (k-1)-mer that isn't entered and left by just one letter."""
+    mers = {s[i : i + k] for s in seqs for i in range(len(s) - k + 1)}
+    into, out = Counter(m[1:] for m in mers), Counter(m[:-1] for m in mers)
+    return sum((into[m[:-1]], out[m[:-1]]) != (1, 1) for m in mers)
+
+
+def test_graph_ranges_equal_direct_counts(spark):
+    for kmin, seqs in random_sets(12, 2):
+        s = frame(spark, seqs).selectExpr("seq_id", "seq", "cast(seq_id % 3 as int) as dataset_id")
+        g = Graph(s, kmin)
+        want = [(k, starts(seqs, k)) for k in range(kmin + 1, 64)]
+        assert [tuple(r) for r in g.unitig_count(kmin + 1, 63).orderBy("k").collect()] == want
+        assert [tuple(r) for r in g.unitig_count(9, 9).collect()] == [(9, starts(seqs, 9))]
+        assert [(r["k"], r["count"]) for r in kmers.unitig_count(s, kmin + 1, 20).orderBy("k").collect()] == want[: 20 - kmin]
+        assert sum(r["starts"] for r in g.unitig_cases(8).collect()) == starts(seqs, 8)
+        columns = ["id1", "id2", "k", "nominator", "denominator", "value"]
+        assert rows(g.bray_curtis(kmin, 62).select(columns)) == rows(kmers.bray_curtis(s, kmin, 62).select(columns))
+
+
+def test_repeats_of_long_texts(spark):
+    draw = random.Random(2)
+    base = "".join(draw.choice("ACGT") for _ in range(30_000))
+    copy = base[:9_000] + "T" + base[9_000:21_000] + base[21_500:]
+    g = Graph(frame(spark, [base, copy, base[100:29_000]]), 24)
+    want = [(k, len({s[i : i + k] for s in (base, copy, base[100:29_000]) for i in range(len(s) - k + 1)})) for k in (24, 700, 9_000)]
+    assert [tuple(g.kmer_count(k, k).first()) for k, _ in want] == want
+    assert g.unitig_count(500, 501).orderBy("k").first()["count"] == starts([base, copy, base[100:29_000]], 500)
+
+
+def test_intervals():
+    assert [common(a, b) for a, b in (("", "a"), ("abc", "abd"), ("abc", "abcd"), ("xa", "ya"))] == [0, 2, 3, 0]
+    texts = sorted(["aab", "aab", "aac", "ab", "b", "b"])
+    assert sorted(intervals(texts)) == [(0, 0, 6), (1, 0, 4), (1, 4, 6), (2, 0, 3), (3, 0, 2)]
+
+
+def test_graph_guards_and_storage(spark, tmp_path):
+    from kmerloom.operators.graph import load, save
+
+    g = Graph(frame(spark, SAMPLE), 2)
+    for ask in (lambda: g.kmer_count(1, 3), lambda: g.unitig_count(2, 3), lambda: g.bray_curtis(1, 2), lambda: g.unitig_cases(2), lambda: Graph(frame(spark, SAMPLE), 0)):
+        with pytest.raises(ValueError):
+            ask()
+    save(g, str(tmp_path / "g"))
+    back = load(spark, str(tmp_path / "g"))
+    assert back.kmin == 2 and rows(back.named(back.edges)) == rows(g.named(g.edges)) and rows(back.unitig_count(3, 8)) == rows(g.unitig_count(3, 8))
+
+
+def test_files_in_splits(spark, tmp_path):
+    draw = random.Random(9)
+    seqs = ["".join(draw.choice("acgt") for _ in range(draw.randint(1, 150))) for _ in range(400)]
+    (tmp_path / "a.fastq").write_text("".join(f"@{i}\n{s}\n+\n{'>' * len(s)}\n" for i, s in enumerate(seqs)))
+    (tmp_path / "a.fasta").write_text("".join(f">{i}\n" + "\n".join(s[j : j + 40] for j in range(0, len(s), 40)) + "\n" for i, s in enumerate(seqs)))
+    (tmp_path / "ids.txt").write_text("0 1\n2\n\n" + " ".join("3" for _ in seqs[3:]) + "\n")
+    small = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    held = {k: spark.conf.get(k) for k in small}
+    for k in small:
+        spark.conf.set(k, "4096")
+    try:
+        for got in (files.read_fastq(spark, str(tmp_path / "a.fastq")), files.read_fasta(spark, str(tmp_path / "a.fasta"))):
+            assert [r["seq"] for r in got.orderBy("record").collect()] == [s.upper() for s in seqs]
+        assert [r["dataset_id"] for r in files.read_sample_ids(spark, str(tmp_path / "ids.txt"), 400).orderBy("at").collect()] == [0, 1, 2] + [3] * 397
+        for n in (399, 401):
+            with pytest.raises(ValueError):
+                files.read_sample_ids(spark, str(tmp_path / "ids.txt"), n)
+        for text in ("T$TA$", "TT$A", "TT$A\n", "$", "T$\n"):
+            (tmp_path / "b.txt").write_text(text)
+            assert "".join(r["ch"] for r in files.read_ebwt(spark, str(tmp_path / "b.txt")).orderBy("i").collect()) == text.strip()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_index_counts_beyond_one_stretch(spark):
+    draw = random.Random(4)
+    text = [draw.choice("$ACG") for _ in range(500)]
+    b = spark.createDataFrame(list(enumerate(text)), "i long, ch string")
+    got = index.with_earlier(b.selectExpr("i", "ch", "1L as n"), ["ch"], "i", "n", "r", wide=7)
+    assert {(r["i"], r["r"]) for r in got.collect()} == {(i, text[:i].count(c)) for i, c in enumerate(text)}
+    assert {(r["i"], r["ch"], r["rank"]) for r in index.ranks_at(b, spark.createDataFrame([(0,), (77,), (500,)], "i long")).collect()} == {(i, c, text[:i].count(c)) for i in (0, 77, 500) for c in "$ACG"}
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "s.fasta").write_text("".join(f">{i}\n{s}\n" for i, s in enumerate(SAMPLE)))
+    (tmp_path / "ids").write_text("0 0 1 1\n")
+    at = lambda name: str(tmp_path / name)
+    lines = lambda name: sorted(r["value"] for r in spark.read.text(at(name)).collect())
+    cli.main(["build", at("s.fasta"), at("graph"), "--kmin", "1", "--text"], spark)
+    cli.main(["access", at("s.fasta"), at("seqs")], spark)
+    assert spark.read.parquet(at("seqs")).count() == 4 and len(lines("graph/text")) == 11
+    cli.main(["kmer_count", at("graph"), at("counts")], spark)
+    assert lines("counts") == [f"{k},{n}" for k, n in enumerate([4, 12, 12, 12, 9, 6, 4, 2], 1)]
+    cli.main(["unitig_count", at("graph"), at("starts"), "--k-to", "8"], spark)
+    assert lines("starts") == [f"{k},{n}" for k, n in enumerate([12, 7, 5, 3, 2, 2, 2], 2)]
+    cli.main(["kmer", at("graph"), at("mers"), "--k", "8"], spark)
+    assert lines("mers") == ["TGCAGTTA", "TGCGATTA"]
+    cli.main(["cdbg", at("graph"), at("cdbg"), "--k", "7"], spark)
+    assert lines("cdbg") == ["0      TGCAGTTA", "1      TGCGATTA"]
+    cli.main(["braycurtis", at("graph"), at("bc"), "--samples", at("ids"), "--k-from", "2", "--k-to", "2"], spark)
+    assert len(lines("bc")) == 1 and lines("bc")[0].startswith("0,1,2,")
+    cli.main(["overlap", at("graph"), at("overlap"), "--min-length", "3"], spark)
+    cli.main(["stat", at("graph")], spark)
+    assert len(lines("overlap")) == 4
+    with pytest.raises(ValueError):
+        cli.main(["cdbg", at("graph"), at("cdbg"), "--k", "1"], spark)
+
+
+def test_stream_of_sequences(spark, tmp_path):
+    from kmerloom.streaming.kmers import kmer_frequencies
+
+    frame(spark, SAMPLE).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("seq_id long, seq string").parquet(str(tmp_path / "in"))
+    query = kmer_frequencies(stream, 3).writeStream.outputMode("complete").format("memory").queryName("mers").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = Counter(s[i : i + 3] for s in SAMPLE for i in range(len(s) - 2))
+    assert {r["mer"]: r["freq"] for r in spark.table("mers").collect()} == dict(want)
