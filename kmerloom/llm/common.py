@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.functions.lineage import cut, remove, remove_path, shared_folder, stored
+
+__all__ = ["cut", "remove", "remove_path", "shared_folder", "stored"]
+
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -20,47 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or the one set on the context.
-
-    Where neither is set, a local master gets a temporary folder as checkpoint folder; on a cluster that is an error, since
-    its machines wouldn't see each other's files.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = context._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
-        held = context._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; keeps the partitions as they are."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder. Spark then knows its size, and it is compressed."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def remove(*tables: DataFrame) -> None:
-    """Delete tables made by `stored` that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -166,6 +127,18 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def smallest_of_groups(classes: DataFrame, stars: DataFrame, of: str) -> DataFrame:
+    """(node, first) for each class (node, `of`): the least `of` among the classes that stars(node, root) put together.
+
+    Classes without a partner need no join by root. What has a root meets the table of roots, whose size is known, so that
+    the join is a broadcast or one whose large sides are split.
+    """
+    linked_ = stored(classes.select("node", of).join(stars, "node"))
+    least = stored(linked_.groupBy("root").agg(F.min(of).alias("first")))
+    together = linked_.join(least, "root").select("node", "first")
+    return classes.select("node", of).join(together, "node", "left").select("node", F.coalesce("first", of).alias("first"))
+
+
 def ranked(df: DataFrame, group: list[str], block: F.Column, order: list, value: str | None = None) -> DataFrame:
     """df with `rank` (rows of the group before this one) and, if a value is named, `before` (their sum).
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import components, partitions, pieces_of, remove, stored, stretches, table
+from kmerloom.llm.common import components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table
 
 #: Members of a list, or of a pair of blocks, that a task compares at once.
 RUN = 4096
@@ -190,16 +190,17 @@ def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def under_keys(posted: DataFrame, order: list[str], run: int | None, found) -> DataFrame:
-    """(a, b) that `found` yields for the members of each key of posted(key, node, ...), all numbers.
+    """(a, b, n, need) that `found` yields for the members of each key of posted(key, node, ...), all numbers.
 
     Members come sorted, each node once. A key with more than `run` of them (None: no such) isn't compared: its members
     are returned as rows with the key as `key`, the node as a, and the other columns.
     """
     rest, n = [c for c in posted.columns if c not in ("key", "node")], partitions(posted)
-    names, most = ["a", "b", "key", *rest], run or 1 << 62
+    names, most = ["a", "b", "n", "need", "key", *rest], run or 1 << 62
 
     def over(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1].copy()), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0].copy()), *(pa.array(rows[:, 2 + i].copy()) for i in range(len(rest)))], names)
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1].copy()), none, none, none, pa.array(rows[:, 0].copy()), *(pa.array(rows[:, 2 + i].copy()) for i in range(len(rest)))], names)
 
     def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of keys that have all their members here."""
@@ -211,8 +212,8 @@ def under_keys(posted: DataFrame, order: list[str], run: int | None, found) -> D
         for s, k in zip(starts[size > most], size[size > most]):
             yield over(rows[s : s + k])
         rows = rows[np.repeat((size > 1) & (size <= most), size)]
-        for a, b in found(rows) if len(rows) else ():
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in (0, *rest))], names)
+        for pairs in found(rows) if len(rows) else ():
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), *(pa.nulls(len(pairs[0]), pa.int64()) for _ in (0, *rest))], names)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, long = [], 0, None
@@ -254,7 +255,7 @@ def simhash_edges(prints: DataFrame, max_bits: int, run: int = RUN) -> DataFrame
     least = guaranteed(max_bits)
     width = max(1, min(WIDTH, least - 1))
 
-    def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         f = rows[:, 1].copy().view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
         size = np.diff(np.append(starts, len(rows)))
@@ -267,7 +268,7 @@ def simhash_edges(prints: DataFrame, max_bits: int, run: int = RUN) -> DataFrame
             b.append(s + e[:, 1])
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
-            yield rows[a, 1], rows[b, 1]
+            yield rows[a, 1], rows[b, 1], np.ones(len(a), np.int64), np.ones(len(a), np.int64)
 
     def links(posted: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
         met = stored(under_keys(posted, ["node"], most, found))
@@ -280,18 +281,6 @@ def simhash_edges(prints: DataFrame, max_bits: int, run: int = RUN) -> DataFrame
     return edges.union(links(block_pairs(long, run), None)[0])
 
 
-def smallest_of_groups(classes: DataFrame, stars: DataFrame, of: str) -> DataFrame:
-    """(node, first) for each class (node, `of`): the least `of` among the classes that stars(node, root) put together.
-
-    Classes without a partner need no join by root. What has a root meets the table of roots, whose size is known, so that
-    the join is a broadcast or one whose large sides are split.
-    """
-    linked_ = stored(classes.select("node", of).join(stars, "node"))
-    least = stored(linked_.groupBy("root").agg(F.min(of).alias("first")))
-    together = linked_.join(least, "root").select("node", "first")
-    return classes.select("node", of).join(together, "node", "left").select("node", F.coalesce("first", of).alias("first"))
-
-
 def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, run: int = RUN) -> DataFrame:
     """Fingerprint and group of each row of docs(doc_id, text): (doc_id, f, component_id).
 
@@ -338,8 +327,13 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
+def further(n):
+    """Shingles posted beyond the first that similar sets must share, of a set of n."""
+    return n // 20
+
+
 def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Of each set as many of its rarest shingles that sets of similarity `least` must have one of them in common."""
+    """Of each set as many of its rarest shingles that sets of similarity `least` share 1 + further(n) of them, n the smaller size."""
     hashes, rank = common
     out = []
     for x in sets:
@@ -347,27 +341,48 @@ def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.
             at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
             r = np.where(hashes[at] == x, rank[at], 0)
             x = x[np.argsort(r, kind="stable")] if r.any() else x
-        out.append(x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] if len(x) else x)
+        out.append(x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 + further(len(x))] if len(x) else x)
     return out
 
 
+def needed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Posted shingles that sets of sizes a and b share at least, if their similarity is `least` or more."""
+    return np.minimum(1 + further(np.minimum(a, b)), np.ceil(least * np.maximum(a, b) - 1e-9).astype(np.int64))
+
+
 def admissible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows (key, node, size, place) can be of similarity `least` if the key is the first shingle they share."""
-    a, b = x[:, 2], y[:, 2]
-    most = np.minimum(a - x[:, 3], b - y[:, 3])
+    """Whether rows (key, node, size, place) can be of similarity `least`, having the key at these places of their order."""
+    a, b, p, q = x[:, 2], y[:, 2], x[:, 3], y[:, 3]
+    most = np.minimum(p, q) + 1 + np.minimum(a - p, b - q) - 1
     return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (most >= (a + b) * (least / (1 + least)) - 1e-9)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """The sorted ends of a set's hashes: two bytes each, four in a set of over 4096."""
+    return np.sort(x.astype("<u2" if len(x) <= 4096 else "<u4")).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of what two sets share, from their sketches."""
+    if x.dtype != y.dtype:
+        x, y = np.sort(x.astype("<u2")), np.sort(y.astype("<u2"))
+    if not len(x) or not len(y):
+        return 0
+    one = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+    two = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    return int(min(one.sum(), two.sum()))
+
+
 class Similar:
     """Classes of equal shingle sets of docs(doc_id, text), and the groups that similarity `least` makes of them.
 
     A row is named by its doc_id (0 for null), whether that is null, and a hash of its text: (none, id, h).
 
     Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
-    n - ceil(least * n) + 1 are posted, so two sets of similarity `least` share a posted shingle, and the first one they
-    share leaves room for enough more in both. Candidates are verified on the whole sets, in two rounds: first each class
-    against its first partner, then all pairs whose ends the first round's links don't join already. So none is left out
-    that could change a group.
+    n - ceil(least * n) + 1 + further(n) are posted. Two sets of similarity `least` share the first 1 + further(n) that
+    they share at all, n being the smaller size, so pairs are counted and fewer don't do. What is left is bounded by short
+    sketches of the sets, and then verified on the whole sets in two rounds: first each class against its first partner,
+    then all pairs whose ends the first round's links don't join already. So none is left out that could change a group.
     """
 
     KEYS = ("none", "id", "h")
@@ -379,7 +394,9 @@ class Similar:
         self.common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
         self.prints = stored(self._prints())
         self.classes = stored(self.prints.groupBy("node").agg(F.min(F.struct(*self.KEYS)).alias("rep")))
-        near = self._near(run)
+        met = self._near(run)
+        near = self._bounded(met)
+        remove(met)
         once = self._verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         stars, left = components(once), near
         for end in ("a", "b"):
@@ -400,7 +417,7 @@ class Similar:
         return self.given.mapInArrow(run, "none boolean, id long, h long, node long")
 
     def _near(self, run: int) -> DataFrame:
-        """(a, b), a < b: the candidates."""
+        """(a, b), a < b: the candidates that share enough posted shingles."""
         words, least, common = self.words, self.least, self.common
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,84 +434,119 @@ class Similar:
                 # size and place in one number, to move fewer bytes
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(node[new], many)), pa.array(size << 31 | place)], ["key", "node", "sp"])
 
-        def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Rows come sorted by key, size and place."""
+        def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            """Rows come sorted by key, size and place. A pair that several of these keys have is one row."""
             rows = np.concatenate([rows[:, :2], rows[:, 2:] >> 31, rows[:, 2:] & ((1 << 31) - 1)], 1)
-            at, d = np.arange(len(rows)), 0
+            at, d, out, held = np.arange(len(rows)), 0, [], 0
+
+            def summed() -> tuple[np.ndarray, ...]:
+                pairs = np.concatenate(out)
+                pairs, n = np.unique(pairs, axis=0, return_counts=True)
+                return pairs[:, 0].copy(), pairs[:, 1].copy(), n, pairs[:, 2].copy()
+
             while True:
                 d += 1
                 at = at[at + d < len(rows)]
                 # what is too large here is so further on
                 at = at[(rows[at, 0] == rows[at + d, 0]) & (rows[at, 2] >= least * rows[at + d, 2] - 1e-9)]
                 if not len(at):
-                    return
+                    break
                 on = at[admissible(rows[at], rows[at + d], least)]
                 if len(on):
-                    x, y = rows[on, 1], rows[on + d, 1]
-                    yield np.minimum(x, y), np.maximum(x, y)
+                    x, y = rows[on], rows[on + d]
+                    out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), needed(x[:, 2], y[:, 2], least)], 1))
+                    held += len(on)
+                    if held > 1 << 20:
+                        yield summed()
+                        out, held = [], 0
+            if out:
+                yield summed()
 
         posted = self.given.select("text").mapInArrow(post, "key long, node long, sp long")
         met = stored(under_keys(posted, ["sp", "node"], run, found))
         long = met.filter("b is null").select("key", F.col("a").alias("node"), "sp")
-        both = met.filter("b is not null").select("a", "b").union(under_keys(block_pairs(long, run), ["sp", "node"], None, found).select("a", "b"))
-        near = stored(both.filter("a <> b").distinct())
+        pair = ("a", "b", "n", "need")
+        both = met.filter("b is not null").select(*pair).union(under_keys(block_pairs(long, run), ["sp", "node"], None, found).select(*pair))
+        near = stored(both.filter("a <> b").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b"))
         remove(met)
         return near
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have similarity `least`.
+    def _sets(self, nodes: DataFrame, form) -> DataFrame:
+        """(node, held): form(its set) for each class asked for, made again from its first row's text.
 
-        Sets are made again from the texts. Those of a's partners come to a's, whose set is held, one after the other; an a
-        with many partners has its set at several tasks. Each pair moves one set.
+        With the size of what is asked for known, it is broadcast while small, so that texts needn't move. A class whose first
+        row is there twice is so here, too.
         """
-        words, least = self.words, self.least
-        asked = stored(pairs)
-        pairs = _dealt(asked, "a", "b", "part")
-        at = _dealt(pairs.select(F.col("b").alias("node"), "a", "part").union(pairs.select(F.col("a").alias("node"), "a", "part").distinct()), "node", "a", "turn")
-        at = at.groupBy("node", "turn").agg(F.collect_list(F.struct("a", "part")).alias("at"))
-        # with its size known it is broadcast while small, so that texts needn't move
-        wanted = stored(self.classes.join(at, "node").select("rep.*", "node", "at"))
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def batch(out: list[tuple]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["a", "part", "partner", "node", "held"])
-
-            out, size = [], 0
+        words = self.words
+        wanted = stored(self.classes.join(nodes, "node").select("rep.*", "node"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces_of(batches):
-                for text, node, at in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    held = np.unique(shingle_hashes(text, words)).astype("<u8").tobytes()
-                    for x in at:
-                        out.append((x["a"], x["part"], node != x["a"], node, held))
-                        size += len(held)
-                        if size > 4 << 20:
-                            yield batch(out)
-                            out, size = [], 0
-            if out:
-                yield batch(out)
+                held = [form(np.unique(shingle_hashes(t, words))) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.binary())], ["node", "held"])
+
+        return self.given.join(wanted, list(self.KEYS)).select("text", "node").mapInArrow(run, "node long, held binary")
+
+    def _compared(self, pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
+        """The pairs (a, b) whose sets(node, held) are `similar`.
+
+        The sets of a's partners come to a's, which is held, one after the other; an a with many partners has its set at
+        several tasks. Each pair moves one set.
+        """
+        pairs = _dealt(pairs, "a", "b", "part")
+        at = pairs.select(F.col("b").alias("node"), "a", "part").union(pairs.select(F.col("a").alias("node"), "a", "part").distinct())
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            name, mine = None, np.zeros(0, np.uint64)
+            name, mine = None, b""
             for batch in batches:
                 a, b = [], []
                 for x, partner, node, held in zip(*(batch.column(c).to_pylist() for c in ("a", "partner", "node", "held"))):
-                    other = np.frombuffer(held, "<u8")
                     if not partner:  # comes first
-                        name, mine = x, other
-                        continue
-                    if name != x:
+                        name, mine = x, held
+                    elif name != x:
                         raise ValueError("a partner without its set")
-                    at = np.minimum(np.searchsorted(mine, other), max(0, len(mine) - 1))
-                    shared = int((mine[at] == other).sum()) if len(mine) else 0
-                    if shared >= least * (len(mine) + len(other) - shared):
+                    elif similar(mine, held):
                         a.append(x)
                         b.append(node)
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        rows = self.given.join(wanted, list(self.KEYS)).select("text", "node", "at").mapInArrow(sets, "a long, part long, partner boolean, node long, held binary")
+        rows = at.join(sets.select("node", "held"), "node").select("a", "part", (F.col("node") != F.col("a")).alias("partner"), "node", "held")
         rows = rows.repartition(partitions(rows), "a", "part").sortWithinPartitions("a", "part", "partner")
-        out = stored(rows.mapInArrow(compare, "a long, b long").distinct())
-        remove(asked, wanted)
+        return stored(rows.mapInArrow(compare, "a long, b long").distinct())
+
+    def _of_ends(self, pairs: DataFrame, form) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return stored(self._sets(ends, form))
+
+    def _bounded(self, near: DataFrame) -> DataFrame:
+        """Without the pairs that their sketches show to be too different."""
+        least = self.least
+        sets = self._of_ends(near, sketch)
+
+        def similar(x: bytes, y: bytes) -> bool:
+            # a sketch of over 8192 bytes has four bytes each
+            one, two = (np.frombuffer(z, "<u2" if len(z) <= 8192 else "<u4") for z in (x, y))
+            return most_shared(one, two) * (1 + least) >= least * (len(one) + len(two)) - 1e-6
+
+        out = self._compared(near, sets, similar)
+        remove(sets)
+        return out
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets have similarity `least`."""
+        least, asked = self.least, stored(pairs)
+        sets = self._of_ends(asked, lambda x: x.astype("<u8").tobytes())
+
+        def similar(x: bytes, y: bytes) -> bool:
+            one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            if not len(one) or not len(two):
+                return False
+            shared = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+            return shared >= least * (len(one) + len(two) - shared)
+
+        out = self._compared(asked, sets, similar)
+        remove(asked, sets)
         return out
 
 
