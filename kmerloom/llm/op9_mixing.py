@@ -1,10 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are summed up per source, targets give each source a repetition rate, and a document is taken floor(rate) times plus
-one more time with a probability equal to the fraction. The Bernoulli draws are seeded by a hash of the id. Within a source
-they are made to balance: documents are grouped by the bit length of their size, the fraction's share of each group is
-rounded against a hash-seeded offset that runs on from group to group, and the documents with the smallest hashes are drawn.
-So each document has the same probability, and a source's words come near its target.
+one more time with a probability equal to the fraction: if a hash of its id, as a number below 1, is below the fraction. The
+texts are read twice and don't move; what is shuffled is a row for each source and task.
 """
 
 from __future__ import annotations
@@ -12,32 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import cut, ranked, table
+from kmerloom.llm.common import stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-#: Rows up to which the table of cut-offs is broadcast (under 2 MB).
+#: Sources up to which their table is broadcast (under 2 MB).
 SMALL = 20_000
 
 
-def hashed(c: F.Column, digits: int) -> F.Column:
-    return F.conv(F.substring(F.md5(c.cast("binary")), 1, digits), 16, 10).cast("long")
+def n_words(text: F.Column) -> F.Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with _source (never null), _size, _group (bit length of the size) and _u (the draw)."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    seed = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))
-    return (
-        docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-        .withColumn("_size", size)
-        .withColumn("_group", F.length(F.bin("_size")))
-        .withColumn("_u", hashed(F.concat(F.lit("mix|"), seed), 15))
-    )
+def named(source: F.Column) -> F.Column:
+    """Never null, and in the order of the sources but for the null one, which is `n`."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def draw(doc_id: F.Column, text: F.Column) -> F.Column:
+    """A number from 0 to 1 that a hash of the id gives, or of the text where there is no id."""
+    seed = F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))
+    digits = F.substring(F.md5(F.concat(F.lit("mix|"), seed).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 60))
 
 
 def source_targets(base: DataFrame, share: float, most: float) -> DataFrame:
-    """(_source, source_size, target, rate, v): water-filling in closed form over one row per source.
+    """(_source, source_size, target, rate) of base(_source, _size): water-filling in closed form over one row per source.
 
     With sources ordered by most * size / weight, those up to some place are full and the others get the rest by weight.
     """
@@ -54,27 +52,28 @@ def source_targets(base: DataFrame, share: float, most: float) -> DataFrame:
     w = w.withColumn("found", F.min(F.when(F.col("level") <= full / F.col("weight"), F.struct((full / F.col("weight")).alias("r"), "at", "level"))).over(everything))
     target = F.when(F.col("found").isNull(), full).otherwise(F.least(full, F.col("found.level") * F.col("weight")))
     w = w.withColumn("target", target)
-    return w.select("_source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), (hashed(F.concat(F.lit("offset|"), F.col("_source")), 8) / F.lit(4294967296.0)).alias("v"))
-
-
-def cutoffs(docs: DataFrame, share: float, most: float) -> DataFrame:
-    """(_source, _group, source_size, target, whole, cutoff): documents whose draw is at most the cutoff get a copy more."""
-    base = cut(measured(docs.select("doc_id", "text", "source")).select("_source", "_size", "_group", "_u"))
-    targets = source_targets(base, share, most).withColumn("whole", F.floor("rate"))
-    groups = base.groupBy("_source", "_group").agg(F.count("*").alias("n")).join(targets, "_source")
-    upto = Window.partitionBy("_source").orderBy(F.desc("_group")).rowsBetween(Window.unboundedPreceding, 0)
-    part = F.col("rate") - F.col("whole")
-    last = F.floor(part * F.sum("n").over(upto) + F.col("v"))
-    first = F.floor(part * (F.sum("n").over(upto) - F.col("n")) + F.col("v"))
-    groups = cut(groups.select("*", (last - first).alias("drawn")))
-    drawn = groups.select("_source", "_group", "drawn")
-    # a row for each source and bit length; broadcast while that is small, so that a group isn't one task's
-    drawn = F.broadcast(drawn) if groups.count() <= SMALL else drawn
-    # fifteen hex digits make 60 bits; the first ten of them number the blocks
-    order = ranked(base.select("_source", "_group", "_u"), ["_source", "_group"], F.shiftright("_u", 50), ["_u"])
-    chosen = order.join(drawn, ["_source", "_group"]).filter("rank < drawn")
-    edge = chosen.groupBy("_source", "_group").agg(F.max("_u").alias("cutoff"))
-    return cut(groups.join(edge, ["_source", "_group"], "left").select("_source", "_group", "source_size", "target", "whole", F.coalesce("cutoff", F.lit(-1)).alias("cutoff")))
+    return w.select("_source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of these names begins with."""
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
+def _with_copies(docs: DataFrame, share: float, most: float) -> tuple[DataFrame, str]:
+    """docs with size, source_size, target and copies under the prefix that is returned too."""
+    base = docs.select(named(F.col("source")).alias("_source"), n_words(F.col("text")).alias("_size"))
+    targets, p = stored(source_targets(base, share, most)), free_prefix(docs.columns)
+    targets = targets.select(*(F.col(c).alias(f"{p}_{c.strip('_')}") for c in targets.columns))
+    # a row for each source; broadcast while that is small, so that texts needn't move
+    targets = F.broadcast(targets) if targets.count() <= SMALL else targets
+    d = docs.withColumn(f"{p}_source", named(F.col("source"))).withColumn(f"{p}_size", n_words(F.col("text"))).withColumn(f"{p}_u", draw(F.col("doc_id"), F.col("text")))
+    whole = F.floor(f"{p}_rate")
+    d = d.join(targets, f"{p}_source", "left")
+    return d.withColumn(f"{p}_copies", whole + (F.col(f"{p}_u") < F.col(f"{p}_rate") - whole).cast("long")), p
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -82,22 +81,23 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
 
     Sources in code point order, a null source last, weigh 5, 2, 1, 5, ... and share `share` times all words; targets
     stop at `most` times their source's words and the excess is shared again by weight. A document is a row; its size is
-    its words, none for a null text. Rows without doc_id are drawn by their text. Rows with equal draws are taken alike.
-    A source without words has target 0. An empty table gives no rows. Other columns are carried.
+    its words, none for a null or blank text. Rows without doc_id are drawn by their text; rows that repeat an id, and
+    null-id rows that repeat a text, get equal draws. A source without words has target 0. An empty table gives no rows.
+    Other columns are carried; those with a name that the result adds are replaced.
     """
-    c = cutoffs(docs, share, most)
-    # a row for each source and bit length; broadcast while that is small, so that texts needn't move
-    c = F.broadcast(c) if c.count() <= SMALL else c
-    given = measured(docs).join(c, ["_source", "_group"], "left")
-    copies = F.col("whole") + (F.col("_u") <= F.col("cutoff")).cast("long")
-    return given.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
+    d, p = _with_copies(docs, share, most)
+    added = ("size", "source_size", "target", "copies")
+    kept = [c for c in docs.columns if c.lower() not in added]
+    return d.select(*kept, *(F.col(f"{p}_{c}").alias(c) for c in added))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, with the columns of docs."""
-    d = mixed(docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), "doc_id", "text", "source"))
-    d = d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return d.select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
+def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents of the mix, each as many times as it is taken, with the columns of docs.
+
+    Nulls, blank texts, repeated rows and clashing names are as in `mixed`. An empty table gives no rows.
+    """
+    d, p = _with_copies(docs, share, most)
+    return d.withColumn(f"{p}_copy", F.explode(F.array_repeat(F.lit(0), F.col(f"{p}_copies").cast("int")))).select(*docs.columns)
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +108,9 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, coalesce('s' || source, 'n') AS src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
   FROM documents),
-sized AS (SELECT *, length(bin(size)) AS grp FROM base),
-by_source AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
+by_source AS (SELECT src, sum(size)::BIGINT AS source_size FROM base GROUP BY src),
 numbered AS (SELECT *, row_number() OVER (ORDER BY src = 'n', src) AS pos FROM by_source),
 weighed AS (SELECT *, [5, 2, 1][((pos - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS full_size FROM numbered),
 filled AS (
@@ -120,17 +119,8 @@ filled AS (
       / sum(weight) OVER (ORDER BY full_size / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 found AS (SELECT arg_min(level, nth) AS level FROM (SELECT level, row_number() OVER (ORDER BY r, pos) AS nth FROM filled WHERE level <= r)),
-targets AS (
-  SELECT src, source_size, coalesce(least(full_size, (SELECT level FROM found) * weight), full_size) AS target,
-         ('0x' || substr(md5('offset|' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS v FROM filled),
-rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
-groups AS (
-  SELECT g.src, g.grp, source_size, target, floor(rate)::BIGINT AS whole,
-    floor((rate - floor(rate)) * sum(n) OVER w + v) - floor((rate - floor(rate)) * (sum(n) OVER w - n) + v) AS drawn
-  FROM (SELECT src, grp, count(*) AS n FROM sized GROUP BY src, grp) g JOIN rated ON rated.src = g.src
-  WINDOW w AS (PARTITION BY g.src ORDER BY grp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-placed AS (SELECT src, grp, u, row_number() OVER (PARTITION BY src, grp ORDER BY u) AS k FROM sized),
-edges AS (SELECT p.src, p.grp, max(u) AS cutoff FROM placed p JOIN groups g ON p.src = g.src AND p.grp = g.grp WHERE k <= drawn GROUP BY p.src, p.grp)
-SELECT d.doc_id, d.size, g.source_size, g.target, d.size * (g.whole + CASE WHEN d.u <= coalesce(e.cutoff, -1) THEN 1 ELSE 0 END) AS taken
-FROM sized d JOIN groups g ON d.src = g.src AND d.grp = g.grp LEFT JOIN edges e ON e.src = d.src AND e.grp = d.grp
+targets AS (SELECT src, source_size, coalesce(least(full_size, (SELECT level FROM found) * weight), full_size) AS target FROM filled),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM base JOIN rated ON base.src = rated.src
 """
