@@ -7,15 +7,16 @@ between destinations fall among the smallest documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import cut, ranked, table
+from kmerloom.llm.common import cut, ranked, remove_path, shared_folder, table
 
 SUB_BLOCKS = 256
+#: Shards of either kind at most: the flow between them is solved on the driver.
+SHARDS = 4096
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -79,7 +80,9 @@ def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[i
         *([key.alias("row_key")] if key is not None else []),
     )
     base = cut(base.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")))
-    sizes = {r["old_shard"]: r["s"] for r in base.groupBy("old_shard").agg(F.sum("size").alias("s")).collect()}
+    sizes = {r["old_shard"]: r["s"] for r in base.groupBy("old_shard").agg(F.sum("size").alias("s")).limit(SHARDS + 1).collect()}
+    if max(len(sizes), max(sizes, default=0), shards) > SHARDS or min(sizes, default=0) < 0:
+        raise ValueError(f"shards are numbered from 0 to {SHARDS} at most")
     supply = [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]
     # staying is free; what moves costs its bytes
     flow = min_cost_flow(supply, capacities or even_capacities(sum(supply), shards), lambda i, j: int(i != j))
@@ -106,17 +109,29 @@ def reshard(docs: DataFrame, old: F.Column, shards: int = 16, capacities: list[i
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the files of the shards that gain or lose rows under path/shard=N; returns their numbers, at most one per shard.
+    """Replace the files of the shards that gain or lose rows, path/shard=N; returns their numbers, at most one per shard.
 
-    docs and placed are joined by row_key if placed has it, else by doc_id, so ids must then be unique. Shards that
-    nothing enters or leaves are not written.
+    docs and placed are joined by row_key, so null and repeated ids are written row by row; columns of docs named shard or
+    slot are replaced. The new files are first written whole to a folder of their own, then each affected shard's folder
+    is exchanged; the folders of other shards are not touched. docs may be read from path, but not after.
     """
-    key = "row_key" if "row_key" in placed.columns else "doc_id"
+    if "row_key" not in docs.columns or "row_key" not in placed.columns:
+        raise ValueError("rows are known by their row_key")
     moved = placed.filter("old_shard <> shard")
     affected = sorted({r[0] for r in moved.select("old_shard").union(moved.select("shard")).distinct().collect()})
-    target = docs.join(placed.filter(F.col("shard").isin(affected)).select(key, "shard", "slot"), key)
+    target = docs.drop("shard", "slot").join(placed.filter(F.col("shard").isin(affected)).select("row_key", "shard", "slot"), "row_key")
+    new = f"{path}/_new-{uuid.uuid4().hex}"
     # a task writes a file for each shard that its rows go to, so that texts move once
-    target.drop("row_key").write.mode("overwrite").partitionBy("shard").parquet(path)
+    target.drop("row_key").write.partitionBy("shard").parquet(new)
+    spark = docs.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for i in affected:
+        old, made = hadoop.Path(f"{path}/shard={i}"), hadoop.Path(f"{new}/shard={i}")
+        files.delete(old, True)
+        if files.exists(made) and not files.rename(made, old):  # a shard that lost all its rows has no new files
+            raise OSError(f"shard {i} is still in {new}")
+    remove_path(spark, new)
     return affected
 
 
@@ -134,7 +149,7 @@ def resharded(docs: DataFrame, old: F.Column, shards: int, path: str) -> DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     written = docs.sparkSession.read.parquet(path).select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "old_shard", F.col("shard").cast("int"), "slot"
-    )
+    ).filter(F.col("shard").isin(affected))
     return same.select(*written.columns).union(written)
 
 
@@ -142,6 +157,5 @@ def op7_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout has twelve shards by source, so a hot source makes one far too large."""
     docs = table(spark, sf_dir, "documents").withColumn("row_key", F.struct("_metadata.file_path", "_metadata.row_index"))
     old = F.crc32(F.col("source").cast("binary")) % 12
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reshard-")
-    found = resharded(docs, old, 16, f"{shared}/reshard-{uuid.uuid4().hex}")
+    found = resharded(docs, old, 16, f"{shared_folder(spark)}/reshard-{uuid.uuid4().hex}")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
