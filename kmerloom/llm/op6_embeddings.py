@@ -1,10 +1,11 @@
 """Near copies among embeddings by collision counting on one-dimensional projections.
 
-Each vector is laid on many drawn lines. The halves of several lines (below or above zero) together make a cell; two
-vectors meet if they share the cell of one of the tables. Within a cell the vectors are laid on further lines, and a pair
-collides on a line if one lies in the window around the other. A pair goes on with as many collisions as all but one in
-some thousands of pairs at the wanted cosine have (the number follows from the lines' normal law), and is then verified in
-double precision. Tables and cells are numbered so that a pair at the wanted cosine meets with a probability of 0.995.
+Each vector is laid on many drawn lines. The signs on several lines together make a cell; two vectors meet if they share the
+cell of one of the tables. Within a cell the vectors are sorted along each further line, and a pair collides on a line if one
+lies in the window centred at the other. Collisions are counted per pair, a pair goes on with as many as all but one in some
+thousands of pairs at the wanted cosine have (the number follows from the lines' normal law), and is then verified in double
+precision. Windows are narrow, so that most pairs never collide and the count grows with the collisions, not with all pairs
+times all lines. Tables and cells are numbered so that a pair at the wanted cosine meets with a probability of 0.995.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import components, cut, partitions, table
+from kmerloom.llm.common import components, cut, partitions, smallest_of_groups, stored, table
 
 #: Vectors of one cell that a task compares; a fuller cell is split into blocks, and blocks meet in pairs.
 BLOCK = 1024
 #: Lines for counting, the half width of a window in standard deviations of a pair at the wanted cosine, the miss rate.
-LINES, WINDOW, MISS = 32, 1.5, 0.0005
+LINES, WINDOW, MISS = 64, 0.5, 0.0005
+#: Collisions that a task lists at once.
+LISTED = 1 << 21
 
 
 def phi(x: float) -> float:
@@ -86,6 +89,29 @@ def cells(classes: DataFrame, least: float, halves: int, tables: int, seed: int)
     return classes.select("node", "label", "weight", "unit").mapInArrow(run, "key long, tbl int, node long, weight long, cells binary, unit binary")
 
 
+def collisions(place: np.ndarray, width: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that collide, once for each line: one lies in the window of half width `width` around the other.
+
+    Each line is sorted; a row's window then is a stretch of the order. The half of it that is further on is listed, so that
+    a pair isn't listed from both its ends.
+    """
+    n = len(place)
+    here = np.arange(n)
+    for k in range(place.shape[1]):
+        order = np.argsort(place[:, k], kind="stable")
+        line = place[order, k]
+        many = np.searchsorted(line, line + width, "right") - here - 1
+        ends = np.cumsum(many)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - many[at] + LISTED, "right")))
+            m = many[at:to]
+            one = np.repeat(here[at:to], m)
+            other = np.arange(len(one)) - np.repeat(np.cumsum(m) - m, m) + one + 1
+            yield order[one], order[other]
+            at = to
+
+
 def compare(x: np.ndarray, cell: np.ndarray, weight: np.ndarray, half: np.ndarray, tbl: int, least: float, lines: np.ndarray, width: float, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(new links by member, weighted; edges (i, j) of a spanning forest) among vectors of one cell.
 
@@ -93,28 +119,24 @@ def compare(x: np.ndarray, cell: np.ndarray, weight: np.ndarray, half: np.ndarra
     are counted there.
     """
     n = len(x)
-    place = x @ lines
-    two = half.any()
+    count = np.zeros(n * n, np.uint8 if lines.shape[1] < 256 else np.uint16)
+    for a, b in collisions(x @ lines, width):
+        # a line lists a pair once, so no place is met twice
+        count[np.minimum(a, b) * n + np.maximum(a, b)] += 1
+    i, j = np.divmod(np.flatnonzero(count >= need), n)
+    if half.any():
+        across = half[i] != half[j]
+        i, j = i[across], j[across]
     fresh = np.zeros(n, np.int64)
     near = np.zeros((n, n), bool)
-    for s in range(0, n, 128):
-        rows = slice(s, min(n, s + 128))
-        count = np.zeros((rows.stop - s, n), np.uint8)
-        for k in range(lines.shape[1]):
-            count += np.abs(place[rows, k][:, None] - place[None, :, k]) <= width
-        i, j = np.nonzero(count >= need)
-        ok = i + s != j
-        if two:
-            ok &= half[i + s] != half[j]
-        i, j = i[ok], j[ok]
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)] + s, j[at : at + (1 << 16)]
-            good = np.einsum("ij,ij->i", x[a], x[b]) >= least
-            a, b = a[good], b[good]
-            near[a, b] = True
-            new = ~(cell[a, :tbl] == cell[b, :tbl]).any(1) if tbl else np.ones(len(a), bool)
-            np.add.at(fresh, a[new], weight[b[new]])
-    near |= near.T
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        good = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        a, b = a[good], b[good]
+        near[a, b] = near[b, a] = True
+        new = ~(cell[a, :tbl] == cell[b, :tbl]).any(1) if tbl else np.ones(len(a), bool)
+        np.add.at(fresh, a[new], weight[b[new]])
+        np.add.at(fresh, b[new], weight[a[new]])
     left, edges = np.ones(n, bool), []
     for root in range(n):
         if not left[root]:
@@ -154,7 +176,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, seed: int = 11) ->
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     # cells of a few hundred of the largest label's vectors, were they spread evenly
-    halves = min(24, max(4, math.ceil(math.log2(max(1, most) / 256))))
+    halves = max(4, math.ceil(math.log2(max(1, most) / 256)))
     tables = tables_for(least, halves)
     rows = cells(classes, least, halves, tables, seed)
     full = cut(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select(F.col("key").alias("full_key"), F.ceil(F.col("count") / BLOCK).alias("blocks")))
@@ -206,10 +228,9 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, seed: int = 11) ->
     met = cut(met)
     links = met.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(met.filter("b is not null").select("a", "b"))
-    known = classes.select("node", "label", "digest", "rep", "weight").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = cut(known.select("root", "label", "digest", "rep", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n")))
-    smallest = known.groupBy("root").agg(F.min("rep").alias("first"))
-    known = known.join(smallest, "root").select(F.col("label").alias("l"), F.col("digest").alias("g"), "n", "first")
+    first = smallest_of_groups(classes.select("node", "rep"), roots, "rep")
+    known = classes.select("node", "label", "digest", "weight").join(links, "node", "left").join(first, "node")
+    known = stored(known.select(F.col("label").alias("l"), F.col("digest").alias("g"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "first"))
     out = base.select("vec_id", "label", "digest").join(known, (F.col("label") == F.col("l")) & (F.col("digest") == F.col("g")), "left")
     component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("first"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
