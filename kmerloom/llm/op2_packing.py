@@ -1,9 +1,11 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm on islands.
 
 Tokens are counted once, in one pass over the texts; what follows moves a few numbers per piece. Pieces that fill a
-sequence are done. The others are dealt by hash into blocks of a few hundred to a few thousand, each block evolves on
-several islands, islands hand their best packing to the next one and evolve again, and the best packing of a block stays.
-Pieces of poorly filled sequences of all blocks are dealt and packed once more.
+sequence are done. The others are dealt by hash into blocks of a few hundred to a few thousand. A block that best fit alone
+packs into as few sequences as its tokens need is done, too. Every other block evolves on several islands: crossover injects
+whole well-filled sequences of one packing into another, takes out what is there twice and best-fits what that displaces;
+islands hand their best packing to the next one and evolve again, and the best packing of a block stays. Pieces of poorly
+filled sequences of all blocks are dealt and packed once more.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, table
+from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, stretches, table
 
 #: Distinct words whose ids a worker remembers.
 REMEMBER = 400_000
@@ -101,6 +103,12 @@ class Ids:
         ends = np.cumsum(sizes, dtype=np.int64)
         return flat[spans(begin[codes], sizes)], np.concatenate([[0], ends[starts[1:] + np.arange(len(starts) - 1)]])
 
+    def of_long(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text, in stretches of about a megabyte, so that little more than its ids is held."""
+        parts = [self(pa.array([x.decode()], pa.large_string()))[0][:-1] for x in stretches((text or "").encode())]
+        ids = np.concatenate([*parts, np.zeros(1, np.uint32)])
+        return ids, np.array([0, len(ids)])
+
 
 _READY: dict[str, Ids] = {}
 
@@ -112,7 +120,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         if path not in _READY:
             _READY[path] = Ids(path)
         for b in pieces_of(batches, 16 << 20):
-            ids, at = _READY[path](b.column(1))
+            ids, at = _READY[path](b.column(1)) if b.num_rows > 1 else _READY[path].of_long(b.column(1)[0].as_py())
             total = np.diff(at)
             many = -(-total // capacity)
             row = np.repeat(np.arange(b.num_rows), many)
@@ -184,15 +192,22 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, draw: np
     return Packing(bin_of, sizes)
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = 5, generations: int = 10) -> np.ndarray:
-    """The best bin of each item that an island finds. Ends early when no packing can have fewer bins."""
-    least = -(-int(sizes.sum()) // capacity)
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: the items' sum, or the items of which no two fit together."""
+    return max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+
+
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = 8, generations: int = 60) -> np.ndarray:
+    """The best bin of each item that an island finds. Ends early when no packing can have fewer bins.
+
+    The population is the elites and packings by best fit in noisy orders. A child replaces the worst if it is better: fewer
+    bins, or as many that are more unevenly filled, which leaves room to empty one.
+    """
+    least = least_bins(sizes, capacity)
     draw = np.random.default_rng(seed)
     people = [Packing(e, sizes) for e in elites]
     while len(people) < population:
-        people.append(fresh(sizes, capacity, draw, 0.0 if not people else draw.uniform(0.02, 0.3)))
-        if len(people[-1].fill) <= least:
-            return people[-1].bin_of
+        people.append(fresh(sizes, capacity, draw, draw.uniform(0.02, 0.3)))
     for _ in range(generations):
         people.sort(key=lambda p: p.fitness(capacity), reverse=True)
         if len(people[0].fill) <= least:
@@ -209,24 +224,38 @@ def pack_blocks(items: DataFrame, capacity: int, block: int, islands: int, epoch
     n = items.count()
     blocks, parts = max(1, -(-n // block)), partitions(items)
     state = items.groupBy(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
-    state = state.withColumn("elites", F.array().cast("array<array<int>>"))
     shape = "block long, items array<struct<uid:long,length:long>>, island int, bins int, best array<int>"
 
+    def sizes_of(held) -> np.ndarray:
+        return np.array([x["length"] for x in held.as_py()], np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Best fit alone; island -1 says that no packing has fewer sequences."""
+        for b in batches:
+            for i in range(b.num_rows):
+                sizes = sizes_of(b.column("items")[i])
+                best = fresh(sizes, capacity, np.random.default_rng(0), 0.0).bin_of
+                bins = int(best.max()) + 1
+                done = bins <= least_bins(sizes, capacity)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).select(["block", "items"]).columns, pa.array([-1 if done else 0], pa.int32()), pa.array([bins], pa.int32()), pa.array([best.tolist()], pa.list_(pa.int32()))], ["block", "items", "island", "bins", "best"])
+
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     row = b.slice(i, 1)
-                    sizes = np.array([x["length"] for x in row.column("items")[0].as_py()], np.int64)
+                    sizes = sizes_of(row.column("items")[0])
                     island, key = row.column("island")[0].as_py(), row.column("block")[0].as_py()
-                    held = [np.array(e, np.int64) for e in row.column("elites")[0].as_py() or []]
+                    held = [np.array(e, np.int64) for e in row.column("elites")[0].as_py()]
                     # its own best of the epoch before, and the one that migrates from the island before it in the ring
-                    elites = [held[island], held[island - 1]] if held else []
+                    elites = [held[island % len(held)], held[island - 1]] if len(held) > 1 else held
                     best = evolve(sizes, capacity, (key * 31 + island) * 7 + number, elites)
                     yield pa.RecordBatch.from_arrays([row.column("block"), row.column("items"), row.column("island"), pa.array([int(best.max()) + 1], pa.int32()), pa.array([best.tolist()], pa.list_(pa.int32()))], ["block", "items", "island", "bins", "best"])
 
         return run
 
+    packed = cut(state.repartition(parts, "block").mapInArrow(first, shape))
+    state = packed.filter("island = 0").select("block", "items", F.array("best").alias("elites"), "best")
     for number in range(epochs):
         spread = state.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands))))).repartition(parts, "block", "island")
         lived = cut(spread.select("block", "items", "elites", "island").mapInArrow(epoch(number), shape))
@@ -244,7 +273,8 @@ def pack_blocks(items: DataFrame, capacity: int, block: int, islands: int, epoch
                 before = np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.repeat(uid[first], many)), pa.array(before - np.repeat(before[first], many)), pa.array(np.repeat(np.add.reduceat(size, first), many))], ["uid", "sequence_id", "offset", "fill"])
 
-    return cut(state.select("items", "best").mapInArrow(place, "uid long, sequence_id long, offset long, fill long"))
+    whole = packed.filter("island = -1").select("items", "best").union(state.select("items", "best"))
+    return cut(whole.mapInArrow(place, "uid long, sequence_id long, offset long, fill long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, block: int = 1500, islands: int = 3, epochs: int = 2) -> DataFrame:
