@@ -1,6 +1,5 @@
 """The pipeline's rows against a version of all five stages in plain Python, on a small table."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -13,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kmerloom.llm import op8_cnn, op10_rules
-from tests.llm.test_operators import SF, brute_rules, groups_of, words
+from tests.llm.test_operators import SF, brute_copies, brute_rules, groups_of, words
 
 N_RULES = len(op10_rules.RULES)
 
@@ -100,41 +99,9 @@ def by_similarity(docs):
     return [d for d, g in zip(docs, root) if d["doc_id"] == least[g]]
 
 
-def hashed(text, digits):
-    return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
-
-
 def by_mix(docs):
-    size = Counter()
-    for d in docs:
-        size[d["source"]] += len(words(d["text"]))
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    total, full = 1.5 * sum(size.values()), set()
-    while True:
-        rest = [s for s in order if s not in full]
-        level = (total - sum(2 * size[s] for s in full)) / sum(weight[s] for s in rest)
-        over = {s for s in rest if level * weight[s] > 2 * size[s]}
-        if not over:
-            break
-        full |= over
-    target = {s: 2 * size[s] if s in full else level * weight[s] for s in order}
-    out = []
-    for s in order:
-        rate = target[s] / size[s]
-        upto, v = 0, hashed("offset|" + ("n" if s is None else "s" + s), 8) / 2**32
-        group = defaultdict(list)
-        for d in docs:
-            if d["source"] == s:
-                group[len(words(d["text"])).bit_length()].append((hashed(f"mix|{d['doc_id']}", 15), d["doc_id"], d))
-        part = rate - math.floor(rate)
-        for g in sorted(group, reverse=True):
-            held = sorted(group[g], key=lambda x: x[:2])
-            drawn = math.floor(part * (upto + len(held)) + v) - math.floor(part * upto + v)
-            upto += len(held)
-            for i, (_, _, d) in enumerate(held):
-                out += [d] * (math.floor(rate) + (i < drawn))
-    return out
+    copies = brute_copies([(d["doc_id"], d["text"], d["source"]) for d in docs])
+    return [d for d, (_, _, _, n) in zip(docs, copies) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")
