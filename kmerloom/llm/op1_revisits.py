@@ -25,7 +25,7 @@ def canonical_url(url: F.Column) -> F.Column:
     rest = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), ":(80|443)$", ""), "^www[.]", "")
     tail = F.regexp_extract(rest, "^[^/?]*(.*)$", 1)
-    query = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "([?&])(?:utm_[a-z]+|ref)=[^&]*", "$1"), "&+", "&"), "[?]&", "?")
+    query = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "([?&])(?:utm_[a-z]+)=[^&]*", "$1"), "&+", "&"), "[?]&", "?")
     return F.concat(host, F.regexp_replace(F.regexp_replace(query, "[?&]+$", ""), "/+$", ""))
 
 
@@ -150,7 +150,7 @@ events AS (
   UNION ALL SELECT page_id * 4, url, start, tag, changed, false, digest, length FROM tagged),
 plain AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM events),
 canon AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[.]', '') ||
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*(.*)$', 1), '([?&])(?:utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS canonical FROM plain),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*(.*)$', 1), '([?&])(?:utm_[a-z]+)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS canonical FROM plain),
 joined AS (
   SELECT *, last_value(CASE WHEN NOT revisit THEN {'id': record_id, 'ts': ts, 'etag': etag, 'modified': modified, 'digest': digest, 'length': length} END IGNORE NULLS)
     OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM canon),
