@@ -48,9 +48,12 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of values[starts[i]:starts[i + 1]] for each i."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Sum of values[starts[i]:starts[i + 1]] for each i, without a wider copy of values."""
+    out = np.zeros(len(starts) - 1, np.int64)
+    filled = np.flatnonzero(np.diff(starts))
+    if len(filled):
+        out[filled] = np.add.reduceat(values[: starts[-1]], starts[filled], dtype=np.int64)
+    return out
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +171,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     """pandas (text, label) of about `rows` labelled documents, all of them if there are fewer, drawn by a hash of the id.
 
     The draw is made on the labels, so that only a bounded table meets the documents and only its texts reach the driver.
-    Documents of more than most_bytes are left out.
+    Documents of more than most_bytes are left out. An id's first text in code point order and least label stand for it.
     """
     named = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
     n = named.count()
     part = 1 << 30
     draw = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(part))
-    drawn = named.filter(draw < int(part * min(1.0, rows / max(1, n)))).distinct()
+    drawn = named.filter(draw < int(part * min(1.0, rows / max(1, n)))).groupBy("_id").agg(F.min("_label").alias("_label"))
     # about `rows` rows of two numbers
     given = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    found = given.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_label").alias(label)).toPandas()
-    return found.sort_values(["doc_id", label, "text"], ignore_index=True)
+    found = given.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("doc_id", F.col("_label").alias(label)).agg(F.min("text").alias("text")).toPandas()
+    return found.sort_values("doc_id", ignore_index=True)
