@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, stretches, table
+from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, stretches, table, text_batches
 
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[" + "".join("\\" + c for c in PUNCTUATION) + "]*$"
 NOT_PUNCTUATION = "^[^" + "".join("\\" + c for c in PUNCTUATION) + "]+"
@@ -119,7 +119,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _READY:
             _READY[path] = Ids(path)
-        for b in pieces_of(batches, 16 << 20):
+        for b in pieces_of(batches):
             ids, at = _READY[path](b.column(1)) if b.num_rows > 1 else _READY[path].of_long(b.column(1)[0].as_py())
             total = np.diff(at)
             many = -(-total // capacity)
@@ -131,7 +131,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
             crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip((at[row] + start).tolist(), (at[row] + start + length).tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return found.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 

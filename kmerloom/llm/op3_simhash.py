@@ -21,16 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table
+from kmerloom.llm.common import components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table, text_batches
 
 #: Members of a list, or of a pair of blocks, that a task compares at once.
 RUN = 4096
 #: Bytes of a fingerprint, and positions of a list at most.
 BYTES, WIDTH = 8, 3
-#: Documents of the sample that tells common shingles, at least and as a share; a common shingle's least share of it.
-SAMPLE, SAMPLE_SHARE, COMMON_SHARE = 5000, 0.01, 4e-4
-#: Common shingles that every task holds (under 2 MB).
-COMMON = 1 << 17
+#: Share of the documents that tells common shingles.
+SAMPLE_SHARE = 0.1
+#: Common shingles that every task holds by rank, and as bits of a filter (4 MB), three bits each.
+LISTED, FILTERED, FILTER_BITS, FILTER_SHIFTS = 1 << 15, 1 << 22, 1 << 25, (0, 13, 39)
+#: Members up to which all pairs of a list of shingles are candidates at once.
+SHORT = 32
 #: Pairs of one document that a task verifies at once, about.
 PARTNERS = 1024
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -125,7 +127,7 @@ def simhash_fingerprints(docs: DataFrame, words: int) -> DataFrame:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint(b.column(1).to_pylist(), words).view(np.int64))], ["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
 
 
 def _lists(prints: DataFrame, width: int) -> DataFrame:
@@ -305,26 +307,58 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, list[
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64), sets
 
 
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that many documents of a sample have, sorted, and the rank of each, the most frequent last.
+class Common:
+    """Which shingles many documents have: a few of them ranked, more of them as bits of a filter of fixed size.
 
-    They are put last in the order that prefixes are cut by. Any order finds every pair; this one keeps runs short.
+    Only an order of shingles comes from it, so what it doesn't know, or takes for common by chance, costs time and no pair.
+    """
+
+    def __init__(self, hashes: np.ndarray, bits: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.rank = hashes[order], (len(hashes) - np.arange(len(hashes)))[order] + 1
+        self.bits = bits
+
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """0 for a rare shingle, 1 for one in the filter, more for the listed ones, the most frequent last."""
+        out = np.zeros(len(x), np.int64)
+        if len(self.bits):
+            out[:] = 1
+            for at in FILTER_SHIFTS:
+                y = (x >> np.uint64(at)) & np.uint64(FILTER_BITS - 1)
+                out &= ((self.bits[y >> np.uint64(6)] >> (y & np.uint64(63))) & np.uint64(1)).astype(np.int64)
+        if len(self.hashes) and len(x):
+            at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == x, self.rank[at], out)
+        return out
+
+
+def common_shingles(texts: DataFrame, words: int) -> Common:
+    """The shingles that several documents of a sample, a fixed share of all, have.
+
+    They are put last in the order that prefixes are cut by. Any order finds every pair; this one keeps lists short: a
+    shingle of twenty documents or more is likely to be known. Of more than FILTERED such shingles the most frequent ones.
     """
-    n = texts.count()
-    share = min(1.0, max(SAMPLE / max(1, n), SAMPLE_SHARE))
     part = 1 << 30
-    drawn = texts.filter(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(part)) < int(part * share))
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(part)) < int(part * SAMPLE_SHARE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column(0).to_pylist(), words)[1]).view(np.int64))], ["shingle"])
 
-    seen = drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    # of the most frequent ones at most COMMON reach the driver
-    found = seen.filter(F.col("n") >= max(2, int(n * share * COMMON_SHARE))).orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
-    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+    seen = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
+    # the least count of which there are few enough; counts from 64 on are one row
+    many = {r["n"]: r["count"] for r in seen.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()}
+    least = next((c for c in range(2, 65) if sum(n for k, n in many.items() if k >= c) <= FILTERED), 65)
+    listed = seen.orderBy(F.desc("n"), "shingle").limit(LISTED).select("shingle").toPandas()
+    places = F.array(*(F.expr(f"shiftrightunsigned(shingle, {at}) & {FILTER_BITS - 1}") for at in FILTER_SHIFTS))
+    places = seen.filter(F.col("n") >= least).select(F.explode(places).alias("at"))
+    # a row for each 64 bits of the filter that are not all zero: its size bounds what the driver gets
+    held = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64 if len(held) else 0, np.int64)
+    if len(held):
+        bits[held["word"].to_numpy()] = held["bits"].to_numpy()
+    remove(seen)
+    return Common(listed["shingle"].to_numpy(np.int64).view(np.uint64), bits.view(np.uint64))
 
 
 def further(n):
@@ -332,15 +366,12 @@ def further(n):
     return n // 20
 
 
-def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+def prefixes(sets: list[np.ndarray], least: float, common: Common) -> list[np.ndarray]:
     """Of each set as many of its rarest shingles that sets of similarity `least` share 1 + further(n) of them, n the smaller size."""
-    hashes, rank = common
     out = []
     for x in sets:
-        if len(hashes) and len(x):
-            at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
-            r = np.where(hashes[at] == x, rank[at], 0)
-            x = x[np.argsort(r, kind="stable")] if r.any() else x
+        r = common.ranks(x)
+        x = x[np.argsort(r, kind="stable")] if r.any() else x
         out.append(x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 + further(len(x))] if len(x) else x)
     return out
 
@@ -380,31 +411,71 @@ class Similar:
 
     Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
     n - ceil(least * n) + 1 + further(n) are posted. Two sets of similarity `least` share the first 1 + further(n) that
-    they share at all, n being the smaller size, so pairs are counted and fewer don't do. What is left is bounded by short
-    sketches of the sets, and then verified on the whole sets in two rounds: first each class against its first partner,
-    then all pairs whose ends the first round's links don't join already. So none is left out that could change a group.
+    they share at all, n being the smaller size. So of lists of up to SHORT members all pairs are counted, and those that
+    meet too rarely go. Pairs are bounded by short sketches of the sets, and then verified on the whole sets in rounds:
+    first each class against its first partner, in a long list that is its first member, then all pairs whose ends no link
+    joins already. In the last round come the pairs of a long list whose ends are still apart, block by block. So no pair
+    is left out that could change a group, and a large family of copies makes about as many pairs as it has members.
     """
 
     KEYS = ("none", "id", "h")
 
     def __init__(self, docs: DataFrame, words: int, least: float, run: int) -> None:
         self.words, self.least = words, least
-        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        given = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.given = given.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
         self.common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
         self.prints = stored(self._prints())
         self.classes = stored(self.prints.groupBy("node").agg(F.min(F.struct(*self.KEYS)).alias("rep")))
-        met = self._near(run)
-        near = self._bounded(met)
-        remove(met)
+        short, long = self._near()
+        first = long.join(stored(long.groupBy("key").agg(F.min("node").alias("a"))), "key")
+        near = self._bounded(short.union(first.filter("a < node").select("a", F.col("node").alias("b"))).distinct())
         once = self._verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        stars, left = components(once), near
+        links = once.union(self._verified(self._apart(near, components(once))))
+        if long.limit(1).count():
+            roots = components(links)
+            cross = self._bounded(self._across(long, roots, run))
+            links = links.union(self._verified(cross))
+        self.stars = components(links)
+
+    @staticmethod
+    def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+        """The pairs that stars(node, root) don't join."""
         for end in ("a", "b"):
-            left = left.join(stars.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        # a pair within a group already adds nothing
-        more = self._verified(left.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b"))
-        remove(near)
-        self.stars = components(once.union(more))
+            pairs = pairs.join(stars.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        return pairs.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+    def _across(self, long: DataFrame, stars: DataFrame, run: int) -> DataFrame:
+        """(a, b) of members of one list (key, node, sp) that may be similar and have different roots."""
+        least = self.least
+
+        def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            for x, y in Similar._sized(rows, least):
+                on = x[:, 4] != y[:, 4]
+                if on.any():
+                    a, b = x[on, 1], y[on, 1]
+                    yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.ones(len(a), np.int64)
+
+        d = stored(long.join(stars, "node", "left").select("key", "node", "sp", F.coalesce("root", "node").alias("root")))
+        several = stored(d.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key"))
+        pairs = under_keys(block_pairs(d.join(several, "key", "left_semi"), run), ["sp", "node"], None, found)
+        return pairs.select("a", "b").filter("a <> b").distinct()
+
+    @staticmethod
+    def _sized(rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows (key, node, size, place, ...) of a key that can be similar, of rows sorted by key, size and place."""
+        rows = np.concatenate([rows[:, :2], rows[:, 2:3] >> 31, rows[:, 2:3] & ((1 << 31) - 1), rows[:, 3:]], 1)
+        at, d = np.arange(len(rows)), 0
+        while True:
+            d += 1
+            at = at[at + d < len(rows)]
+            # what is too large here is so further on
+            at = at[(rows[at, 0] == rows[at + d, 0]) & (rows[at, 2] >= least * rows[at + d, 2] - 1e-9)]
+            if not len(at):
+                return
+            on = at[admissible(rows[at], rows[at + d], least)]
+            if len(on):
+                yield rows[on], rows[on + d]
 
     def _prints(self) -> DataFrame:
         """(none, id, h, node) of each row."""
@@ -416,8 +487,11 @@ class Similar:
 
         return self.given.mapInArrow(run, "none boolean, id long, h long, node long")
 
-    def _near(self, run: int) -> DataFrame:
-        """(a, b), a < b: the candidates that share enough posted shingles."""
+    def _near(self) -> tuple[DataFrame, DataFrame]:
+        """(a, b), a < b, of short lists that share enough posted shingles; and the members (key, node, sp) of long lists.
+
+        A pair that shares a long list needn't be counted: it is looked after there.
+        """
         words, least, common = self.words, self.least, self.common
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,41 +509,32 @@ class Similar:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(node[new], many)), pa.array(size << 31 | place)], ["key", "node", "sp"])
 
         def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-            """Rows come sorted by key, size and place. A pair that several of these keys have is one row."""
-            rows = np.concatenate([rows[:, :2], rows[:, 2:] >> 31, rows[:, 2:] & ((1 << 31) - 1)], 1)
-            at, d, out, held = np.arange(len(rows)), 0, [], 0
+            """A pair that several of these keys have is one row."""
+            out, held = [], 0
 
             def summed() -> tuple[np.ndarray, ...]:
-                pairs = np.concatenate(out)
-                pairs, n = np.unique(pairs, axis=0, return_counts=True)
-                return pairs[:, 0].copy(), pairs[:, 1].copy(), n, pairs[:, 2].copy()
-
-            while True:
-                d += 1
-                at = at[at + d < len(rows)]
-                # what is too large here is so further on
-                at = at[(rows[at, 0] == rows[at + d, 0]) & (rows[at, 2] >= least * rows[at + d, 2] - 1e-9)]
-                if not len(at):
-                    break
-                on = at[admissible(rows[at], rows[at + d], least)]
-                if len(on):
-                    x, y = rows[on], rows[on + d]
-                    out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), needed(x[:, 2], y[:, 2], least)], 1))
-                    held += len(on)
-                    if held > 1 << 20:
-                        yield summed()
-                        out, held = [], 0
+                a, b, need = np.concatenate(out, 1)
+                order = np.lexsort((b, a))
+                a, b, need = a[order], b[order], need[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                return a[first], b[first], np.diff(np.append(first, len(a))), need[first]
+
+            for x, y in Similar._sized(rows, least):
+                out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), needed(x[:, 2], y[:, 2], least)]))
+                held += len(x)
+                if held > 1 << 18:
+                    yield summed()
+                    out, held = [], 0
             if out:
                 yield summed()
 
         posted = self.given.select("text").mapInArrow(post, "key long, node long, sp long")
-        met = stored(under_keys(posted, ["sp", "node"], run, found))
-        long = met.filter("b is null").select("key", F.col("a").alias("node"), "sp")
-        pair = ("a", "b", "n", "need")
-        both = met.filter("b is not null").select(*pair).union(under_keys(block_pairs(long, run), ["sp", "node"], None, found).select(*pair))
-        near = stored(both.filter("a <> b").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b"))
+        met = stored(under_keys(posted, ["sp", "node"], SHORT, found))
+        long = stored(met.filter("b is null").select("key", F.col("a").alias("node"), "sp"))
+        pairs = met.filter("b is not null and a <> b").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
+        near = stored(pairs.filter("n >= need").select("a", "b"))
         remove(met)
-        return near
+        return near, long
 
     def _sets(self, nodes: DataFrame, form) -> DataFrame:
         """(node, held): form(its set) for each class asked for, made again from its first row's text.
@@ -522,6 +587,7 @@ class Similar:
     def _bounded(self, near: DataFrame) -> DataFrame:
         """Without the pairs that their sketches show to be too different."""
         least = self.least
+        near = stored(near)
         sets = self._of_ends(near, sketch)
 
         def similar(x: bytes, y: bytes) -> bool:
@@ -530,7 +596,7 @@ class Similar:
             return most_shared(one, two) * (1 + least) >= least * (len(one) + len(two)) - 1e-6
 
         out = self._compared(near, sets, similar)
-        remove(sets)
+        remove(near, sets)
         return out
 
     def _verified(self, pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import coded, labelled_sample, pieces_of, split_words, table
+from kmerloom.llm.common import coded, labelled_sample, pieces_of, split_words, table, text_batches
 
 #: The fit takes about so many labelled rows, and none of more bytes than that. Grades cover all rows and whole texts.
 FIT_ROWS, FIT_BYTES = 8000, 16_384
@@ -173,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
             grade = (p >= 0.5).sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
