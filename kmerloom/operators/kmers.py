@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.lineage import cut, global_rank, stored
+from kmerloom.functions.lineage import cut, global_rank, remove, stored
 from kmerloom.functions.strings import common_prefix, mers_of_windows, occurrences, span, windows
 
 
@@ -112,46 +112,58 @@ def bray_curtis(seqs: DataFrame, k_from: int, k_to: int) -> DataFrame:
 def chains(seqs: DataFrame, k: int) -> DataFrame:
     """(mer, head, dist, is_cycle): each distinct k-mer's unitig, by its first k-mer, and its place in it.
 
-    Pointer doubling: a k-mer knows the one that is 1, 2, 4, ... places before it, until that is a head. As long as some
-    k-mer is further off, each round brings others to their head; a round that brings none leaves the cycles, which are
-    broken at their smallest k-mer.
+    Within a sequence, k-mers follow each other in one unitig as long as the (k-1)-mers between them are plain passages. So a
+    k-mer first points as far back as one of its sequences goes, which mostly is its head. The others double their pointers:
+    each round some that aren't on a cycle reach their head; a round that brings none leaves the cycles, which are broken at
+    their smallest k-mer.
     """
-    mers = cut(kmer_list(seqs, k))
-    plain = junctions(seqs, k, k).filter("l = 1 and r = 1").select("v")
-    before = mers.select(F.expr(f"substring(mer, 2, {k - 1})").alias("v"), F.col("mer").alias("prev"))
-    links = cut(before.join(plain, "v").join(mers.select(F.expr(f"substring(mer, 1, {k - 1})").alias("v"), "mer"), "v").filter("prev <> mer").select("mer", "prev"))
-    heads = mers.join(links, "mer", "left_anti")
-    lines = heads.select("mer", F.col("mer").alias("head"), F.lit(0).cast("long").alias("dist"))
-    # done: at a head; otherwise `at` is dist places before mer
-    d = links.join(heads.select(F.col("mer").alias("prev"), F.lit(True).alias("h")), "prev", "left")
-    d = cut(d.select("mer", F.col("prev").alias("at"), F.lit(1).cast("long").alias("dist"), F.coalesce("h", F.lit(False)).alias("done"), F.least("mer", "prev").alias("least")))
+    plain = junctions(seqs, k, k).filter("l = 1 and r = 1").select("v", F.lit(True).alias("plain"))
+    d = occurrences(seqs.groupBy("seq").agg(F.min("seq_id").alias("seq_id")), k).select("seq_id", "pos", "mer", F.expr(f"left(mer, {k - 1})").alias("v"))
+    # a run of one letter that is its own only neighbour counts as a head
+    alone = F.col("mer") == F.repeat(F.substring("mer", 1, 1), k)
+    d = d.join(plain, "v", "left").withColumn("linked", F.coalesce("plain", F.lit(False)) & ~alone)
+    begins = F.when(~F.col("linked") | (F.col("pos") == 0), F.struct((~F.col("linked")).alias("done"), "pos", F.col("mer").alias("at")))
+    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("mer", "pos", F.last(begins, ignorenulls=True).over(w).alias("b"))
+    best = F.max(F.struct("b.done", (F.col("pos") - F.col("b.pos")).cast("long").alias("dist"), "b.at"))
+    d = stored(d.groupBy("mer").agg(best.alias("x")).select("mer", "x.at", "x.dist", "x.done"))
+    # a k-mer that only begins sequences points to the one before it, in another sequence
+    only = F.expr("not done and at = mer")
+    before = d.select(F.col("mer").alias("prev"), F.expr(f"right(mer, {k - 1})").alias("v"), F.expr("done and dist = 0").alias("head"))
+    first = stored(d.filter(only).select("mer", F.expr(f"left(mer, {k - 1})").alias("v"))).join(before, "v")
+    d = stored(d.filter(~only).union(first.select("mer", F.col("prev").alias("at"), F.lit(1).cast("long").alias("dist"), F.col("head").alias("done"))))
 
     def doubled(d: DataFrame) -> DataFrame:
-        on = d.select(F.col("mer").alias("at"), F.col("at").alias("further"), F.col("dist").alias("more"), F.col("done").alias("then"), F.col("least").alias("smaller"))
+        on = d.select(F.col("mer").alias("at"), F.col("at").alias("further"), F.col("dist").alias("more"), F.col("done").alias("then"))
         todo = d.filter("not done").join(on, "at")
-        return cut(d.filter("done").union(todo.select("mer", F.col("further").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), F.col("then").alias("done"), F.least("least", "smaller").alias("least"))))
+        return stored(d.filter("done").union(todo.select("mer", F.col("further").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), F.col("then").alias("done"))))
 
     left, before_it = d.filter("not done").count(), -1
     while left and left != before_it:
-        d, before_it = doubled(d), left
+        last, d, before_it = d, doubled(d), left
+        remove(last)
         left = d.filter("not done").count()
-    lines = lines.union(d.filter("done").select("mer", F.col("at").alias("head"), "dist")).select("mer", "head", "dist", F.lit(False).alias("is_cycle"))
+    lines = d.filter("done").select("mer", F.col("at").alias("head"), "dist", F.lit(False).alias("is_cycle"))
     if not left:
         return lines
-    rest = d.filter("not done")
+    rest = d.filter("not done").select("mer")
+    links = rest.select("mer", F.expr(f"left(mer, {k - 1})").alias("v")).join(rest.select(F.col("mer").alias("prev"), F.expr(f"right(mer, {k - 1})").alias("v")), "v")
+    links = stored(links.select("mer", "prev"))
+    rest = links.select("mer", F.col("prev").alias("at"), F.least("mer", "prev").alias("least"))
     while True:  # the smallest of twice as many places, until that changes nothing
-        wider = doubled(rest)
+        on = rest.select(F.col("mer").alias("at"), F.col("at").alias("further"), F.col("least").alias("smaller"))
+        wider = stored(rest.join(on, "at").select("mer", F.col("further").alias("at"), F.least("least", "smaller").alias("least")))
         if not wider.select("mer", F.col("least").alias("now")).join(rest, "mer").filter("now <> least").limit(1).count():
             break
         rest = wider
     rest = rest.select("mer", "least")
     # along a cycle, count back to its smallest k-mer
     back = links.join(rest, "mer").select("mer", "least", F.when(F.col("mer") == F.col("least"), F.col("mer")).otherwise(F.col("prev")).alias("at"), F.when(F.col("mer") == F.col("least"), 0).otherwise(1).cast("long").alias("dist"))
-    back = cut(back)
+    back = stored(back)
     while back.filter("at <> least").limit(1).count():
         on = back.select(F.col("mer").alias("at"), F.col("at").alias("to"), F.col("dist").alias("more"))
-        back = cut(back.join(on, "at").select("mer", "least", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist")))
-    return cut(lines.union(back.select("mer", F.col("least").alias("head"), "dist", F.lit(True))))
+        back = stored(back.join(on, "at").select("mer", "least", F.col("to").alias("at"), (F.col("dist") + F.col("more")).alias("dist")))
+    return lines.union(back.select("mer", F.col("least").alias("head"), "dist", F.lit(True)))
 
 
 def unitigs(seqs: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame:
