@@ -31,6 +31,8 @@ BYTES, WIDTH = 8, 3
 SAMPLE_SHARE = 0.1
 #: Common shingles that every task holds by rank, and as bits of a filter (4 MB), three bits each.
 LISTED, FILTERED, FILTER_BITS, FILTER_SHIFTS = 1 << 15, 1 << 22, 1 << 25, (0, 13, 39)
+#: Bits of the map of a set that goes with a member of a long list.
+MAP_BITS = 2048
 #: Members up to which all pairs of a list of shingles are candidates at once.
 SHORT = 32
 #: Pairs of one document that a task verifies at once, about.
@@ -388,6 +390,23 @@ def admissible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (most >= (a + b) * (least / (1 + least)) - 1e-9)
 
 
+def bit_map(x: np.ndarray) -> bytes:
+    """MAP_BITS bits, those set that a hash of the set falls on."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(x >> np.uint64(20)).astype(np.int64) & (MAP_BITS - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes a and b with these bit maps (a row each) can have similarity `least`.
+
+    A bit that only one of them has stands for a member, at least one, that the other lacks.
+    """
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    only_x, only_y = (np.bitwise_count(z).sum(1, dtype=np.int64) for z in (x & ~y, y & ~x))
+    return np.minimum(a - only_x, b - only_y) * (1 + least) >= least * (a + b) - 1e-6
+
+
 def sketch(x: np.ndarray) -> bytes:
     """The sorted ends of a set's hashes: two bytes each, four in a set of over 4096."""
     return np.sort(x.astype("<u2" if len(x) <= 4096 else "<u4")).tobytes()
@@ -446,25 +465,45 @@ class Similar:
         return pairs.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
 
     def _across(self, long: DataFrame, stars: DataFrame, run: int) -> DataFrame:
-        """(a, b) of members of one list (key, node, sp) that may be similar and have different roots."""
+        """(a, b) of members of one list (key, node, sp) that may be similar and have different roots.
+
+        Members carry a bit map of their set, so a pair that it rules out is compared but makes no row.
+        """
         least = self.least
 
         def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-            for x, y in Similar._sized(rows, least):
-                on = x[:, 4] != y[:, 4]
-                if on.any():
-                    a, b = x[on, 1], y[on, 1]
-                    yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.ones(len(a), np.int64)
-
+            maps = np.ascontiguousarray(rows[:, 4:])
+            for i, j, x, y in Similar._sized(rows, least):
+                on = rows[i, 3] != rows[j, 3]
+                i, j, x, y = i[on], j[on], x[on], y[on]
+                for at in range(0, len(i), 1 << 14):
+                    part = slice(at, at + (1 << 14))
+                    ok = may_be_similar(maps[i[part]], maps[j[part]], x[part, 2], y[part, 2], least)
+                    if ok.any():
+                        a, b = x[part][ok, 1], y[part][ok, 1]
+                        yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.ones(len(a), np.int64)
+
+        def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    held = np.frombuffer(b"".join(b.column("held").to_pylist()), np.int64).reshape(b.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(held[:, k].copy()) for k in range(held.shape[1]))], ["node", *names])
+
+        names = [f"m{k}" for k in range(MAP_BITS // 64)]
         d = stored(long.join(stars, "node", "left").select("key", "node", "sp", F.coalesce("root", "node").alias("root")))
         several = stored(d.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key"))
-        pairs = under_keys(block_pairs(d.join(several, "key", "left_semi"), run), ["sp", "node"], None, found)
+        d = stored(d.join(several, "key", "left_semi"))
+        maps = self._sets(d.select("node").distinct(), bit_map).mapInArrow(columns, ", ".join(["node long", *(f"{c} long" for c in names)]))
+        pairs = under_keys(block_pairs(d.join(stored(maps.dropDuplicates(["node"])), "node"), run), ["sp", "node"], None, found)
         return pairs.select("a", "b").filter("a <> b").distinct()
 
     @staticmethod
-    def _sized(rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows (key, node, size, place, ...) of a key that can be similar, of rows sorted by key, size and place."""
-        rows = np.concatenate([rows[:, :2], rows[:, 2:3] >> 31, rows[:, 2:3] & ((1 << 31) - 1), rows[:, 3:]], 1)
+    def _sized(rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs i, j of rows (key, node, sp, ...) of a key that can be similar, and (key, node, size, place) of both.
+
+        Rows are sorted by key and sp, which is size and place.
+        """
+        rows = np.concatenate([rows[:, :2], rows[:, 2:3] >> 31, rows[:, 2:3] & ((1 << 31) - 1)], 1)
         at, d = np.arange(len(rows)), 0
         while True:
             d += 1
@@ -475,7 +514,7 @@ class Similar:
                 return
             on = at[admissible(rows[at], rows[at + d], least)]
             if len(on):
-                yield rows[on], rows[on + d]
+                yield on, on + d, rows[on], rows[on + d]
 
     def _prints(self) -> DataFrame:
         """(none, id, h, node) of each row."""
@@ -519,7 +558,7 @@ class Similar:
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 return a[first], b[first], np.diff(np.append(first, len(a))), need[first]
 
-            for x, y in Similar._sized(rows, least):
+            for _, _, x, y in Similar._sized(rows, least):
                 out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), needed(x[:, 2], y[:, 2], least)]))
                 held += len(x)
                 if held > 1 << 18:
