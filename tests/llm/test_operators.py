@@ -210,6 +210,22 @@ def brute_components(docs, least=0.8):
     return groups_of(len(sets), links), links
 
 
+def test_bounds_rule_out_no_similar_pair():
+    draw = np.random.default_rng(6)
+    for n in (5, 60, 700, 5000):
+        for share in (0.5, 0.75, 0.8, 0.85, 1.0):
+            x = np.unique(draw.integers(0, 1 << 63, n, np.uint64))
+            y = np.unique(np.concatenate([x[: int(share * len(x))], draw.integers(0, 1 << 63, len(x) - int(share * len(x)), np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            maps = [np.frombuffer(op3_simhash.bit_map(z), np.int64).reshape(1, -1) for z in (x, y)]
+            one, two = (np.frombuffer(op3_simhash.sketch(z), "<u2" if len(z) <= 4096 else "<u4") for z in (x, y))
+            assert op3_simhash.most_shared(one, two) >= shared
+            like = shared >= 0.8 * (len(x) + len(y) - shared)
+            ok = op3_simhash.may_be_similar(*maps, np.array([len(x)]), np.array([len(y)]), 0.8)[0]
+            assert ok or not like
+            assert not (ok and share == 0.5 and n <= 700)
+
+
 def test_similar_groups_find_every_pair(spark):
     docs = families(3, 150, 2, 200, 2)  # similarity 0.8 to 0.9: drawn keys lost some
     want, links = brute_components(docs)
