@@ -29,6 +29,15 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of a few numbers up to which a table is broadcast (under 10 MB).
+SMALL_ROWS = 1 << 18
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """df, a stored table of a few numbers a row, marked for broadcast if it has at most SMALL_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table, text_batches
+from kmerloom.llm.common import broadcast_small, components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table, text_batches
 
 #: Members of a list, or of a pair of blocks, that a task compares at once.
 RUN = 4096
@@ -578,7 +578,7 @@ class Similar:
     def _sets(self, nodes: DataFrame, form) -> DataFrame:
         """(node, held): form(its set) for each class asked for, made again from its first row's text.
 
-        With the size of what is asked for known, it is broadcast while small, so that texts needn't move. A class whose first
+        What is asked for is broadcast while small, so that texts needn't move; beyond that texts are shuffled. A class whose first
         row is there twice is so here, too.
         """
         words = self.words
@@ -589,7 +589,7 @@ class Similar:
                 held = [form(np.unique(shingle_hashes(t, words))) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.binary())], ["node", "held"])
 
-        return self.given.join(wanted, list(self.KEYS)).select("text", "node").mapInArrow(run, "node long, held binary")
+        return self.given.join(broadcast_small(wanted), list(self.KEYS)).select("text", "node").mapInArrow(run, "node long, held binary")
 
     def _compared(self, pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
         """The pairs (a, b) whose sets(node, held) are `similar`.
@@ -683,8 +683,8 @@ def simhash_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, run: int
     gone = stored(named.join(first, keys, "left_anti").select(*keys))
     again = stored(named.filter("n > 1").join(first, keys, "left_semi").select(*keys))
     d = docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    once = d.join(gone.union(again), keys, "left_anti")
-    return once.union(d.join(again, keys, "left_semi").dropDuplicates(keys)).select(*docs.columns)
+    once = d.join(broadcast_small(stored(gone.union(again))), keys, "left_anti")
+    return once.union(d.join(broadcast_small(again), keys, "left_semi").dropDuplicates(keys)).select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
