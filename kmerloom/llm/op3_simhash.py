@@ -87,7 +87,11 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fingerprint(texts: list[str | None], words: int) -> np.ndarray:
     """The fingerprint of each text."""
-    each = [shingle_hashes(t, words) for t in texts]
+    return majorities([shingle_hashes(t, words) for t in texts])
+
+
+def majorities(each: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each text, from its shingles' hashes."""
     starts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     return majority(np.concatenate(each) if each else np.zeros(0, np.uint64), starts)
 
@@ -306,7 +310,11 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, run: int
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """One hash that names the set of each text's shingle hashes, and the sets, sorted."""
     sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64), sets
+    return np.array([set_name(x) for x in sets], np.uint64).view(np.int64), sets
+
+
+def set_name(x: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(x.tobytes(), 42)
 
 
 class Common:
@@ -351,16 +359,17 @@ def common_shingles(texts: DataFrame, words: int) -> Common:
     # the least count of which there are few enough; counts from 64 on are one row
     many = {r["n"]: r["count"] for r in seen.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()}
     least = next((c for c in range(2, 65) if sum(n for k, n in many.items() if k >= c) <= FILTERED), 65)
-    listed = seen.orderBy(F.desc("n"), "shingle").limit(LISTED).select("shingle").toPandas()
+    # as Arrow columns: as rows they would take the driver many times their size
+    listed = seen.orderBy(F.desc("n"), "shingle").limit(LISTED).select("shingle").toArrow()
     places = F.array(*(F.expr(f"shiftrightunsigned(shingle, {at}) & {FILTER_BITS - 1}") for at in FILTER_SHIFTS))
     places = seen.filter(F.col("n") >= least).select(F.explode(places).alias("at"))
     # a row for each 64 bits of the filter that are not all zero: its size bounds what the driver gets
-    held = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    held = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64 if len(held) else 0, np.int64)
     if len(held):
         bits[held["word"].to_numpy()] = held["bits"].to_numpy()
     remove(seen)
-    return Common(listed["shingle"].to_numpy(np.int64).view(np.uint64), bits.view(np.uint64))
+    return Common(listed["shingle"].to_numpy().astype(np.int64).view(np.uint64), bits.view(np.uint64))
 
 
 def further(n):
@@ -428,28 +437,33 @@ class Similar:
 
     A row is named by its doc_id (0 for null), whether that is null, and a hash of its text: (none, id, h).
 
-    Candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
+    The first candidates are the links of the fingerprint index: classes whose fingerprints differ in at most `max_bits`
+    bits. They are verified on the whole sets. Similar sets may differ in more bits than any number of shared bytes
+    guarantees, so the pairs that the index can't promise are searched by shingles, too.
+
+    These candidates are complete. Shingles have one order, common ones last. Of a set of n shingles the first
     n - ceil(least * n) + 1 + further(n) are posted. Two sets of similarity `least` share the first 1 + further(n) that
     they share at all, n being the smaller size. So of lists of up to SHORT members all pairs are counted, and those that
     meet too rarely go. Pairs are bounded by short sketches of the sets, and then verified on the whole sets in rounds:
-    first each class against its first partner, in a long list that is its first member, then all pairs whose ends no link
-    joins already. In the last round come the pairs of a long list whose ends are still apart, block by block. So no pair
+    first, with the links of fingerprints, each class against its first partner, in a long list that is its first member,
+    then all pairs whose ends no link joins already. In the last round come the pairs of a long list whose ends are still apart, block by block. So no pair
     is left out that could change a group, and a large family of copies makes about as many pairs as it has members.
     """
 
     KEYS = ("none", "id", "h")
 
-    def __init__(self, docs: DataFrame, words: int, least: float, run: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, least: float, run: int, max_bits: int = 4) -> None:
         self.words, self.least = words, least
         given = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.given = given.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
         self.common = docs.sparkSession.sparkContext.broadcast(common_shingles(given.select("text"), words))
         self.prints = stored(self._prints())
-        self.classes = stored(self.prints.groupBy("node").agg(F.min(F.struct(*self.KEYS)).alias("rep")))
+        self.classes = stored(self.prints.groupBy("node").agg(F.min(F.struct(*self.KEYS)).alias("rep"), F.min("f").alias("f")))
+        marked = self._marked(max_bits, run)
         short, long = self._near()
         first = long.join(stored(long.groupBy("key").agg(F.min("node").alias("a"))), "key")
         near = self._bounded(short.union(first.filter("a < node").select("a", F.col("node").alias("b"))).distinct())
-        once = self._verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        once = self._verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(marked).distinct())
         links = once.union(self._verified(self._apart(near, components(once))))
         if long.limit(1).count():
             roots = components(links)
@@ -517,14 +531,25 @@ class Similar:
                 yield on, on + d, rows[on], rows[on + d]
 
     def _prints(self) -> DataFrame:
-        """(none, id, h, node) of each row."""
+        """(none, id, h, node, f) of each row; f is its fingerprint."""
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces_of(batches):
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shingle_sets(b.column(3).to_pylist(), words)[0])], ["none", "id", "h", "node"])
+                each = [shingle_hashes(t, words) for t in b.column(3).to_pylist()]
+                node = np.array([set_name(np.unique(x)) for x in each], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(majorities(each).view(np.int64))], ["none", "id", "h", "node", "f"])
+
+        return self.given.mapInArrow(run, "none boolean, id long, h long, node long, f long")
 
-        return self.given.mapInArrow(run, "none boolean, id long, h long, node long")
+    def _marked(self, max_bits: int, run: int) -> DataFrame:
+        """(a, b), a < b, of classes that fingerprints link: the first classes of linked ones, and the first of each with its others."""
+        of = stored(self.classes.groupBy("f").agg(F.min("node").alias("first")))
+        links = simhash_edges(of.select(F.col("f").alias("node")), max_bits, run)
+        for end in ("a", "b"):
+            links = links.join(of.select(F.col("f").alias(end), F.col("first").alias(f"first_{end}")), end)
+        same = self.classes.join(of, "f").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        return stored(links.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).union(same).distinct())
 
     def _near(self) -> tuple[DataFrame, DataFrame]:
         """(a, b), a < b, of short lists that share enough posted shingles; and the members (key, node, sp) of long lists.

@@ -524,3 +524,21 @@ def test_pipeline(spark):
         assert r["offset"] == at[r["sequence_id"]]
         at[r["sequence_id"]] += r["length"]
     assert got and max(at.values()) <= 2048 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_similar_groups_come_from_fingerprint_links(spark, monkeypatch):
+    """The stage's first candidates are the index's links; without any candidates from lists of shingles these are all."""
+    docs = [(0, text := " ".join(f"w{i}" for i in range(4000))), (1, text + " one"), (2, " ".join(f"v{i}" for i in range(4000))), (3, text), (4, "")]
+    prints = op3_simhash.fingerprint([t for _, t in docs], 5)
+    assert int(prints[0] ^ prints[1]).bit_count() <= 4 < int(prints[0] ^ prints[2]).bit_count()
+
+    def nothing(self):
+        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, node long, sp long")
+
+    monkeypatch.setattr(op3_simhash.Similar, "_near", nothing)
+    got = dict(op3_simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+    # a link of fingerprints alone doesn't join: the sets are verified
+    two = [(0, "a b c d e"), (1, "f g h i j")]
+    monkeypatch.setattr(op3_simhash, "majorities", lambda each: np.zeros(len(each), np.uint64))
+    assert dict(op3_simhash.similar_groups(spark.createDataFrame(two, "doc_id long, text string")).collect()) == {0: 0, 1: 1}
