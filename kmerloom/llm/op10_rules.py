@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import coded, cut, pieces_of, split_words, sums, table, text_batches, utf8
+from kmerloom.llm.common import coded, cut, pieces_of, split_words, sums, table, text_batches, tidied, utf8
 
 SYMBOLS = "#*$%&|<>"
 #: Rules: the measure, votes bad outside the first range, good inside the second, if there is one; otherwise it abstains.
@@ -166,7 +166,7 @@ def rule_measures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k].astype(np.int64)) for k in (*BASE, "pattern"))], ["doc_id", *BASE, "pattern"])
 
     shape = ", ".join(["doc_id long", *(f"{k} long" for k in (*BASE, "pattern"))])
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), shape)
 
 
 def posterior(measures: DataFrame) -> dict[int, float]:
@@ -212,7 +212,7 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
             ok = ~base_failed(m["n_words"], m["n_repeat_words"]) & np.isin(m["pattern"], list(good))
             yield b.filter(pa.array(ok))
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(tidied(run), docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

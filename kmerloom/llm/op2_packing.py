@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, stretches, table, text_batches
+from kmerloom.llm.common import coded, cut, partitions, pieces_of, split_words, stretches, table, text_batches, tidied
 
-#: Distinct words whose ids a worker remembers.
-REMEMBER = 200_000
+#: Distinct words whose ids a worker remembers; bytes of text that it takes at once, which take it over ten times as much.
+REMEMBER, AT_ONCE = 100_000, 2 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[" + "".join("\\" + c for c in PUNCTUATION) + "]*$"
 NOT_PUNCTUATION = "^[^" + "".join("\\" + c for c in PUNCTUATION) + "]+"
@@ -113,25 +113,30 @@ class Ids:
 _READY: dict[str, Ids] = {}
 
 
+def pieces_of_texts(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, piece, start, length, ids_crc32) of (doc_id, text), a stretch of texts of about AT_ONCE bytes after the other."""
+    if path not in _READY:
+        _READY[path] = Ids(path)
+    for b in pieces_of(batches, AT_ONCE):
+        ids, at = _READY[path](b.column(1)) if b.num_rows > 1 else _READY[path].of_long(b.column(1)[0].as_py())
+        total = np.diff(at)
+        many = -(-total // capacity)
+        row = np.repeat(np.arange(b.num_rows), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(capacity, total[row] - start)
+        data = ids.astype("<u4").tobytes()
+        crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip((at[row] + start).tolist(), (at[row] + start + length).tolist())]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32) of the pieces of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _READY:
-            _READY[path] = Ids(path)
-        for b in pieces_of(batches):
-            ids, at = _READY[path](b.column(1)) if b.num_rows > 1 else _READY[path].of_long(b.column(1)[0].as_py())
-            total = np.diff(at)
-            many = -(-total // capacity)
-            row = np.repeat(np.arange(b.num_rows), many)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            start = piece * capacity
-            length = np.minimum(capacity, total[row] - start)
-            data = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip((at[row] + start).tolist(), (at[row] + start + length).tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    found = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        return pieces_of_texts(batches, path, capacity)
+
+    found = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return found.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
@@ -254,11 +259,11 @@ def pack_blocks(items: DataFrame, capacity: int, block: int, islands: int, epoch
 
         return run
 
-    packed = cut(state.repartition(parts, "block").mapInArrow(first, shape))
+    packed = cut(state.repartition(parts, "block").mapInArrow(tidied(first), shape))
     state = packed.filter("island = 0").select("block", "items", F.array("best").alias("elites"), "best")
     for number in range(epochs):
         spread = state.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands))))).repartition(parts, "block", "island")
-        lived = cut(spread.select("block", "items", "elites", "island").mapInArrow(epoch(number), shape))
+        lived = cut(spread.select("block", "items", "elites", "island").mapInArrow(tidied(epoch(number)), shape))
         state = lived.groupBy("block").agg(F.first("items").alias("items"), F.transform(F.sort_array(F.collect_list(F.struct("island", "best"))), lambda x: x["best"]).alias("elites"), F.min_by("best", F.struct("bins", "island")).alias("best"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +279,7 @@ def pack_blocks(items: DataFrame, capacity: int, block: int, islands: int, epoch
                 yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.repeat(uid[first], many)), pa.array(before - np.repeat(before[first], many)), pa.array(np.repeat(np.add.reduceat(size, first), many))], ["uid", "sequence_id", "offset", "fill"])
 
     whole = packed.filter("island = -1").select("items", "best").union(state.select("items", "best"))
-    return cut(whole.mapInArrow(place, "uid long, sequence_id long, offset long, fill long"))
+    return cut(whole.mapInArrow(tidied(place), "uid long, sequence_id long, offset long, fill long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, block: int = 1500, islands: int = 3, epochs: int = 2) -> DataFrame:

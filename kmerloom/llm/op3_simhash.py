@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import broadcast_small, components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table, text_batches
+from kmerloom.llm.common import broadcast_small, components, partitions, pieces_of, remove, smallest_of_groups, stored, stretches, table, text_batches, tidied
 
 #: Members of a list, or of a pair of blocks, that a task compares at once.
 RUN = 4096
@@ -133,7 +133,7 @@ def simhash_fingerprints(docs: DataFrame, words: int) -> DataFrame:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint(b.column(1).to_pylist(), words).view(np.int64))], ["doc_id", "f"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, f long")
 
 
 def _lists(prints: DataFrame, width: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _lists(prints: DataFrame, width: int) -> DataFrame:
                         key |= digits[:, p]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(f, len(keys)))], ["key", "node"])
 
-    return prints.select("node").mapInArrow(post, "key long, node long")
+    return prints.select("node").mapInArrow(tidied(post), "key long, node long")
 
 
 def _longer_lists(long: DataFrame, width: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _longer_lists(long: DataFrame, width: int) -> DataFrame:
                 name = np.array([xxhash.xxh64_intdigest(k.tobytes(), p) for k in np.stack([key[on], digits[on, p]], 1)], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(f[on])], ["key", "node"])
 
-    return long.mapInArrow(post, "key long, node long")
+    return long.mapInArrow(tidied(post), "key long, node long")
 
 
 def _dealt(rows: DataFrame, of: str, by: str, name: str) -> DataFrame:
@@ -255,7 +255,7 @@ def under_keys(posted: DataFrame, order: list[str], run: int | None, found) -> D
             yield from whole(np.concatenate(held))
 
     shape = ", ".join(f"{c} long" for c in names)
-    return posted.select("key", "node", *rest).repartition(n, "key").sortWithinPartitions("key", *order).mapInArrow(runs, shape)
+    return posted.select("key", "node", *rest).repartition(n, "key").sortWithinPartitions("key", *order).mapInArrow(tidied(runs), shape)
 
 
 def simhash_edges(prints: DataFrame, max_bits: int, run: int = RUN) -> DataFrame:
@@ -355,7 +355,7 @@ def common_shingles(texts: DataFrame, words: int) -> Common:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column(0).to_pylist(), words)[1]).view(np.int64))], ["shingle"])
 
-    seen = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
+    seen = stored(drawn.mapInArrow(tidied(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
     # the least count of which there are few enough; counts from 64 on are one row
     many = {r["n"]: r["count"] for r in seen.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()}
     least = next((c for c in range(2, 65) if sum(n for k, n in many.items() if k >= c) <= FILTERED), 65)
@@ -507,7 +507,7 @@ class Similar:
         d = stored(long.join(stars, "node", "left").select("key", "node", "sp", F.coalesce("root", "node").alias("root")))
         several = stored(d.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key"))
         d = stored(d.join(several, "key", "left_semi"))
-        maps = self._sets(d.select("node").distinct(), bit_map).mapInArrow(columns, ", ".join(["node long", *(f"{c} long" for c in names)]))
+        maps = self._sets(d.select("node").distinct(), bit_map).mapInArrow(tidied(columns), ", ".join(["node long", *(f"{c} long" for c in names)]))
         pairs = under_keys(block_pairs(d.join(stored(maps.dropDuplicates(["node"])), "node"), run), ["sp", "node"], None, found)
         return pairs.select("a", "b").filter("a <> b").distinct()
 
@@ -540,7 +540,7 @@ class Similar:
                 node = np.array([set_name(np.unique(x)) for x in each], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(majorities(each).view(np.int64))], ["none", "id", "h", "node", "f"])
 
-        return self.given.mapInArrow(run, "none boolean, id long, h long, node long, f long")
+        return self.given.mapInArrow(tidied(run), "none boolean, id long, h long, node long, f long")
 
     def _marked(self, max_bits: int, run: int) -> DataFrame:
         """(a, b), a < b, of classes that fingerprints link: the first classes of linked ones, and the first of each with its others."""
@@ -592,7 +592,7 @@ class Similar:
             if out:
                 yield summed()
 
-        posted = self.given.select("text").mapInArrow(post, "key long, node long, sp long")
+        posted = self.given.select("text").mapInArrow(tidied(post), "key long, node long, sp long")
         met = stored(under_keys(posted, ["sp", "node"], SHORT, found))
         long = stored(met.filter("b is null").select("key", F.col("a").alias("node"), "sp"))
         pairs = met.filter("b is not null and a <> b").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
@@ -614,7 +614,7 @@ class Similar:
                 held = [form(np.unique(shingle_hashes(t, words))) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.binary())], ["node", "held"])
 
-        return self.given.join(broadcast_small(wanted), list(self.KEYS)).select("text", "node").mapInArrow(run, "node long, held binary")
+        return self.given.join(broadcast_small(wanted), list(self.KEYS)).select("text", "node").mapInArrow(tidied(run), "node long, held binary")
 
     def _compared(self, pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
         """The pairs (a, b) whose sets(node, held) are `similar`.
@@ -642,7 +642,7 @@ class Similar:
 
         rows = at.join(sets.select("node", "held"), "node").select("a", "part", (F.col("node") != F.col("a")).alias("partner"), "node", "held")
         rows = rows.repartition(partitions(rows), "a", "part").sortWithinPartitions("a", "part", "partner")
-        return stored(rows.mapInArrow(compare, "a long, b long").distinct())
+        return stored(rows.mapInArrow(tidied(compare), "a long, b long").distinct())
 
     def _of_ends(self, pairs: DataFrame, form) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import labelled_sample, pieces_of, table, text_batches, utf8
+from kmerloom.llm.common import labelled_sample, pieces_of, table, text_batches, tidied, utf8
 
 WIDTH, FILTERS, HALF = 4, 16, 128
 #: The fit takes about so many labelled rows, and none of more bytes than that. Scores cover all rows and whole texts.
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows: int =
             held = [x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= least).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
@@ -188,7 +188,7 @@ def keep_classified(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows
         for b in pieces_of(batches):
             yield b.filter(pa.array(scores(model, b.column(column)) >= least))
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(tidied(run), docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -542,3 +542,34 @@ def test_similar_groups_come_from_fingerprint_links(spark, monkeypatch):
     two = [(0, "a b c d e"), (1, "f g h i j")]
     monkeypatch.setattr(op3_simhash, "majorities", lambda each: np.zeros(len(each), np.uint64))
     assert dict(op3_simhash.similar_groups(spark.createDataFrame(two, "doc_id long, text string")).collect()) == {0: 0, 1: 1}
+
+
+def test_tokenizing_holds_little_at_once():
+    """A batch as large as Spark may hand over is taken in stretches: under 60 MB beside the words that are remembered."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = " ".join(f"{w}{'.' if i % 9 == 0 else ''}" for i, w in enumerate("the quick brown fox jumps over a lazy dog again and again".split() * 170))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array([text] * 800)], ["doc_id", "text"])
+    assert 7 << 20 < batch.nbytes < 9 << 20
+    want = list(op2_packing.pieces_of_texts(iter([batch.slice(0, 2)]), path, 2048))[0]
+    tracemalloc.start()
+    got = [x for b in op2_packing.pieces_of_texts(iter([batch]), path, 2048) for x in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20, most
+    assert [{**x, "doc_id": x["doc_id"] % 2} for x in got[: 2 * len(want)]] == want.to_pylist() * 2 and len(got) == 400 * len(want)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """However a task's rows end, what its worker has free goes back."""
+    from kmerloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidied(lambda rows: (x + 1 for x in rows))(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    with pytest.raises(ZeroDivisionError):
+        list(common.tidied(lambda rows: (1 // x for x in rows))(iter([1, 0])))
+    assert len(calls) == 2
