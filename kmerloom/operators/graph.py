@@ -35,15 +35,17 @@ def need_k(k: int, least: int) -> None:
 class Graph:
     """The tables of the graph of seqs(seq_id, seq [, dataset_id]) at kmin. seq_id is unique.
 
+    letters and longest, if given, say what letters and how many of them a sequence has; see `maximal_repeats`.
+
     strata(id, size, freq, left_cnt, right_cnt, sample_seq_id, sample_pos, home_seq_id, home_pos), occ(id, seq_id, pos, size),
     edges(kind, vertex, ord, pos, to, id).
     """
 
-    def __init__(self, seqs: DataFrame, kmin: int) -> None:
+    def __init__(self, seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> None:
         if kmin < 1:
             raise ValueError("kmin is 1 or more")
         self.kmin, self.seqs = kmin, stored(seqs.withColumn("seq_id", F.col("seq_id").cast("long")))
-        self.strata, self.occ = maximal_repeats(self.seqs, kmin)
+        self.strata, self.occ = maximal_repeats(self.seqs, kmin, letters, longest)
         s = self._seq_edges().select(F.lit("sequence").alias("kind"), F.col("seq_id").alias("vertex"), "ord", "pos", "to", "id")
         self.edges = stored(s.union(self._stratum_edges().select(F.lit("stratum"), "parent", "ord", "pos", "to", "id")))
 

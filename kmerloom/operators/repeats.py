@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.lineage import global_rank, remove, stored
 from kmerloom.functions.strings import occurrences
+from kmerloom.operators import packed_repeats
 
 STRATUM, PLACE, GOES_ON = 0, 1, 2
 FIELDS = ("what", "of_seq", "of_pos", "size", "seq_id", "pos", "freq", "left_cnt", "right_cnt", "home_seq", "home_pos")
@@ -116,16 +117,18 @@ def seeds(seqs: DataFrame, kmin: int) -> DataFrame:
     return d.join(g, "of_seq", "left_semi").select("of_seq", F.lit(0).cast("long").alias("of_pos"), "seq_id", "pos")
 
 
-def maximal_repeats(seqs: DataFrame, kmin: int) -> tuple[DataFrame, DataFrame]:
+def maximal_repeats(seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """strata(id, size, freq, left_cnt, right_cnt, sample_seq_id, sample_pos, home_seq_id, home_pos) and occ(id, seq_id, pos, size).
 
     seqs(seq_id, seq) has unique, non-null ids; null sequences have no places. left_cnt and right_cnt are the numbers of
     letters before and after; ids count up by size and first place. What a task holds is one group's places and their
-    letters of one level.
+    letters of one level. Where at most four letters and a length of 255 or less are named, letters move packed, in one level.
     """
     seqs = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "seq")
-    members, base, full, found = seeds(seqs, kmin), 0, 2 * kmin, []
-    while True:
+    packed = packed_repeats.fits(letters, longest, kmin)
+    found = [stored(packed_repeats.repeat_rows(seqs, kmin, letters))] if packed else []
+    members, base, full = None if packed else seeds(seqs, kmin), 0, 2 * kmin
+    while not packed:
         rows = stored(level(members, seqs, base, full, kmin))
         found.append(rows)
         members = rows.filter(F.col("what") == GOES_ON).select("of_seq", "of_pos", "seq_id", "pos")

@@ -285,3 +285,36 @@ def test_packed_queries_use_no_strings_of_mers(spark):
     for name in ("kmer_count_range", "unitig_count_k", "unitig_case_stats"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "sequence(" not in plan, name
+
+def test_packed_repeats(spark, monkeypatch):
+    """The packed way against brute force: copies, runs of one letter, begins and ends, short, empty and null sequences, small parts."""
+    from kmerloom.operators import packed_repeats
+
+    for part, (kmin, seqs) in zip((1 << 18, 3), random_sets(21, 2)):
+        monkeypatch.setattr(packed_repeats, "PART", part)
+        monkeypatch.setattr(packed_repeats, "CHUNK", 1 << 20 if part > 3 else 90)
+        draw = random.Random(kmin)
+        long = "".join(draw.choice("ACGT") for _ in range(255))
+        seqs = [*seqs, long, long[30:], long[:200], long[7:240], long, "A" * 255, "A" * 254]
+        s = spark.createDataFrame([(i * (1 << 24), x) for i, x in enumerate([*seqs, None])], "seq_id long, seq string").repartition(3)
+        for k in (kmin, 20, 32):
+            g, plain = Graph(s, k, "ACGT", 255), Graph(s, k)
+            assert rows(g.named(g.strata).drop("home_seq_id", "home_pos")) == rows(plain.named(plain.strata).drop("home_seq_id", "home_pos"))
+            assert rows(g.named(g.occ)) == rows(plain.named(plain.occ)) and rows(g.named(g.edges)) == rows(plain.named(plain.edges))
+    for bad in (["ACGN" * 9], ["A" * 256]):
+        with pytest.raises(Exception, match="letters"):
+            Graph(frame(spark, bad), 3, "ACGT", 255)
+    assert Graph(spark.createDataFrame([], "seq_id long, seq string"), 3, "ACGT", 255).edges.count() == 0
+
+
+def test_graph_of_reads_moves_packed_letters(spark):
+    """At 0.1 GB of documents a place must not become a row of the shuffle."""
+    from kmerloom.operators import repeats
+
+    asked = []
+    level, repeats.level = repeats.level, lambda *a: asked.append(a) or level(*a)
+    try:
+        QUERIES["maximal_repeats"](spark, SF)
+    finally:
+        repeats.level = level
+    assert not asked
