@@ -31,8 +31,10 @@ BYTES, WIDTH = 8, 3
 SAMPLE_SHARE = 0.1
 #: Common shingles that every task holds by rank, and as bits of a filter (4 MB), three bits each.
 LISTED, FILTERED, FILTER_BITS, FILTER_SHIFTS = 1 << 15, 1 << 22, 1 << 25, (0, 13, 39)
-#: Bits of the map of a set that goes with a member of a long list.
+#: Bits of the map of a set by which members of a long list are told apart.
 MAP_BITS = 2048
+#: Shingles of the members of a list, or of a pair of blocks, that a task compares at once, about (16 MB).
+HELD = 1 << 21
 #: Members up to which all pairs of a list of shingles are candidates at once.
 SHORT = 32
 #: Pairs of one document that a task verifies at once, about.
@@ -179,18 +181,21 @@ def _dealt(rows: DataFrame, of: str, by: str, name: str) -> DataFrame:
     return rows.join(many, of, "left").withColumn(name, F.coalesce(F.pmod(F.xxhash64(by), F.col("_of")), F.lit(0).cast("long"))).drop("_of")
 
 
-def block_pairs(long: DataFrame, run: int) -> DataFrame:
+def block_pairs(long: DataFrame, run: int, size: str | None = None) -> DataFrame:
     """Members (key, node, ...) of over-long lists, dealt to each pair of blocks of their list.
 
     Blocks of about half a run are dealt by a hash of the node, and each pair of them is a key of its own, so a task
     compares about `run` members at once, whatever the list's length, and no pair of a list is left out. A member is copied
-    once per block of its list.
+    once per block of its list. If a column of sizes is named, a pair of blocks has about HELD of them at most, too, and the
+    rows have a `side`: 0 or 1 for the first or second of two blocks.
     """
     rest = [c for c in long.columns if c not in ("key", "node")]
-    many = long.groupBy("key").agg(F.ceil(2 * F.count("*") / F.lit(run)).alias("_of"))
+    of = F.ceil(2 * F.count("*") / F.lit(run))
+    many = long.groupBy("key").agg((F.greatest(of, F.ceil(2 * F.sum(size) / F.lit(HELD))) if size else of).alias("_of"))
     d = long.join(many, "key").withColumn("_at", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_of")))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
-    return d.select(F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other")).alias("key"), "node", *rest)
+    side = [(F.col("_at") > F.col("_other")).cast("long").alias("side")] if size else []
+    return d.select(F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other")).alias("key"), "node", *rest, *side)
 
 
 def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -416,6 +421,47 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, l
     return np.minimum(a - only_x, b - only_y) * (1 + least) >= least * (a + b) - 1e-6
 
 
+def joining(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of sets of similarity `least` whose roots differ, and whose sides if there are two, so many that
+    they join all roots that these pairs join: fewer than there are roots.
+
+    The members of the most frequent root are compared with the others, not with each other. What a set shares with all
+    others is counted at once, by lists of the members that have a shingle.
+    """
+    size, n, out = np.array([len(x) for x in sets], np.int64), len(sets), []
+    shingle, of = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), size)
+    order = np.argsort(shingle, kind="stable")
+    shingle, of = shingle[order], of[order]
+    begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
+    many = np.diff(np.append(begin, len(shingle)))
+    list_of = np.empty(len(shingle), np.int64)
+    list_of[order] = np.repeat(np.arange(len(begin)), many)
+    ends, two, maps = np.cumsum(size), side.any() and not side.all(), None
+    names, label, counts = np.unique(root, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(label != counts.argmax()).tolist():
+        ok = (label != label[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9)
+        if two:
+            ok &= side != side[i]
+        at = list_of[ends[i] - size[i] : ends[i]]
+        at = at[many[at] > 1]
+        if not ok.any() or not len(at):
+            continue
+        if many[at].sum() > MAP_BITS // 32 * n:  # a look at the maps costs less
+            if maps is None:
+                maps = np.stack([np.frombuffer(bit_map(x), np.int64) for x in sets])
+            on = np.flatnonzero(ok)
+            ok[on] = may_be_similar(maps[[i]], maps[on], size[i], size[on], least)
+        upto = np.cumsum(many[at])
+        shared = np.bincount(of[np.arange(upto[-1]) + np.repeat(begin[at] - (upto - many[at]), many[at])], minlength=n)
+        ok &= shared >= least * (size + size[i] - shared)
+        while ok.any():
+            j = int(ok.argmax())
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+            ok &= label != label[i]
+    return out
+
+
 def sketch(x: np.ndarray) -> bytes:
     """The sorted ends of a set's hashes: two bytes each, four in a set of over 4096."""
     return np.sort(x.astype("<u2" if len(x) <= 4096 else "<u4")).tobytes()
@@ -446,8 +492,9 @@ class Similar:
     they share at all, n being the smaller size. So of lists of up to SHORT members all pairs are counted, and those that
     meet too rarely go. Pairs are bounded by short sketches of the sets, and then verified on the whole sets in rounds:
     first, with the links of fingerprints, each class against its first partner, in a long list that is its first member,
-    then all pairs whose ends no link joins already. In the last round come the pairs of a long list whose ends are still apart, block by block. So no pair
-    is left out that could change a group, and a large family of copies makes about as many pairs as it has members.
+    then all pairs whose ends no link joins already. In the last round members of a long list that are still apart are
+    verified where they meet, block by block. So no pair is left out that could change a group, and a large family makes at
+    most as many pairs a list as it has members, whether its texts are similar or just below.
     """
 
     KEYS = ("none", "id", "h")
@@ -467,8 +514,7 @@ class Similar:
         links = once.union(self._verified(self._apart(near, components(once))))
         if long.limit(1).count():
             roots = components(links)
-            cross = self._bounded(self._across(long, roots, run))
-            links = links.union(self._verified(cross))
+            links = links.union(self._across(long, roots, run))
         self.stars = components(links)
 
     @staticmethod
@@ -479,37 +525,40 @@ class Similar:
         return pairs.filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
 
     def _across(self, long: DataFrame, stars: DataFrame, run: int) -> DataFrame:
-        """(a, b) of members of one list (key, node, sp) that may be similar and have different roots.
+        """(a, b) of similar members of one list (key, node, sp), so many that they join all roots that such pairs join.
 
-        Members carry a bit map of their set, so a pair that it rules out is compared but makes no row.
+        Members carry their set and are verified where they meet, so a pair that isn't similar makes no row, and a list no
+        more rows than it has members.
         """
         least = self.least
 
-        def found(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-            maps = np.ascontiguousarray(rows[:, 4:])
-            for i, j, x, y in Similar._sized(rows, least):
-                on = rows[i, 3] != rows[j, 3]
-                i, j, x, y = i[on], j[on], x[on], y[on]
-                for at in range(0, len(i), 1 << 14):
-                    part = slice(at, at + (1 << 14))
-                    ok = may_be_similar(maps[i[part]], maps[j[part]], x[part, 2], y[part, 2], least)
-                    if ok.any():
-                        a, b = x[part][ok, 1], y[part][ok, 1]
-                        yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.ones(len(a), np.int64)
-
-        def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    held = np.frombuffer(b"".join(b.column("held").to_pylist()), np.int64).reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(held[:, k].copy()) for k in range(held.shape[1]))], ["node", *names])
-
-        names = [f"m{k}" for k in range(MAP_BITS // 64)]
-        d = stored(long.join(stars, "node", "left").select("key", "node", "sp", F.coalesce("root", "node").alias("root")))
+        def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            node, root, side, held = zip(*rows)
+            pairs = joining([np.frombuffer(x, "<u8") for x in held], np.array(root), np.array(side), least)
+            if pairs:
+                a, b = np.array(node)[np.array(pairs)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, rows = None, []
+            for batch in batches:
+                for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "side", "held"))):
+                    if key != name:
+                        if len(rows) > 1:
+                            yield from found(rows)
+                        name, rows = key, []
+                    rows.append(row)
+            if len(rows) > 1:
+                yield from found(rows)
+
+        d = stored(long.join(stars, "node", "left").select("key", "node", F.shiftright("sp", 31).alias("size"), F.coalesce("root", "node").alias("root")))
         several = stored(d.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key"))
-        d = stored(d.join(several, "key", "left_semi"))
-        maps = self._sets(d.select("node").distinct(), bit_map).mapInArrow(tidied(columns), ", ".join(["node long", *(f"{c} long" for c in names)]))
-        pairs = under_keys(block_pairs(d.join(stored(maps.dropDuplicates(["node"])), "node"), run), ["sp", "node"], None, found)
-        return pairs.select("a", "b").filter("a <> b").distinct()
+        # copies of one text were posted by several tasks
+        d = stored(d.join(several, "key", "left_semi").dropDuplicates(["key", "node"]))
+        sets = stored(self._sets(d.select("node").distinct(), lambda x: x.astype("<u8").tobytes()).dropDuplicates(["node"]))
+        met = block_pairs(d, run, "size").join(sets, "node").select("key", "node", "root", "side", "held")
+        met = met.repartition(partitions(met), "key").sortWithinPartitions("key", "node")
+        return stored(met.mapInArrow(tidied(meet), "a long, b long").distinct())
 
     @staticmethod
     def _sized(rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:

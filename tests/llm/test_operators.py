@@ -240,6 +240,37 @@ def test_similar_groups_of_large_families(spark):
     assert 4 < len(set(want)) < 200 and [got[i] for i, _ in docs] == want
 
 
+def test_members_of_long_lists_are_verified_where_they_meet(spark, monkeypatch):
+    """A large family just below the similarity, whose bit maps are full, makes no rows; one with links no more than members."""
+    made, across = [], op3_simhash.Similar._across
+
+    def seen(self, *args):
+        made.append((out := across(self, *args)).count())
+        return out
+
+    monkeypatch.setattr(op3_simhash.Similar, "_across", seen)
+    for changed, run in ((60, 4096), (28, 16)):
+        docs = families(changed, 1, 40, 2500, changed)
+        want, links = brute_components(docs)
+        got = dict(op3_simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), run=run).collect())
+        assert [got[i] for i, _ in docs] == want
+        assert (len(links) == 0) == (changed == 60) and made.pop() <= (0 if changed == 60 else len(docs))
+
+
+def test_joining_takes_fewer_pairs_than_roots():
+    draw = np.random.default_rng(8)
+    for n, two in ((2, 0), (30, 0), (30, 1), (200, 1)):
+        base = draw.integers(0, 1 << 63, 100, np.uint64)
+        sets = [np.unique(np.concatenate([draw.permutation(base)[: 100 - k], draw.integers(0, 1 << 63, k, np.uint64)])) for k in draw.integers(3, 16, n)]
+        root, side = draw.integers(0, max(2, n // 2), n), draw.integers(0, 2, n) * two
+        like = [(i, j) for i in range(n) for j in range(i) if root[i] != root[j] and (len(set(side)) < 2 or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = op3_simhash.joining(sets, root, side, 0.8)
+        assert {(max(p), min(p)) for p in got} <= set(like) and len(got) < len(set(root))
+        same = [(i, j) for i in range(n) for j in range(i) if root[i] == root[j]]
+        assert groups_of(n, got + same) == groups_of(n, like + same)
+    assert op3_simhash.joining([np.zeros(0, np.uint64)] * 2, np.arange(2), np.zeros(2, np.int64), 0.8) == []
+
+
 def test_simhash_dedup_of_repeated_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     docs = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (None, c), (None, a), (None, "d e f"), (None, "d e f")]
