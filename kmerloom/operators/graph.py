@@ -7,10 +7,13 @@ for a range of ks is a sum of ramps or steps over k, so its cost doesn't grow wi
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.lineage import stored
+from kmerloom.operators import packed_repeats
 from kmerloom.operators.kmers import pairs_of_datasets
 from kmerloom.operators.repeats import maximal_repeats
 
@@ -46,8 +49,12 @@ class Graph:
             raise ValueError("kmin is 1 or more")
         self.kmin, self.seqs = kmin, stored(seqs.withColumn("seq_id", F.col("seq_id").cast("long")))
         self.strata, self.occ = maximal_repeats(self.seqs, kmin, letters, longest)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Found when first asked for: strata and their frequencies don't need them."""
         s = self._seq_edges().select(F.lit("sequence").alias("kind"), F.col("seq_id").alias("vertex"), "ord", "pos", "to", "id")
-        self.edges = stored(s.union(self._stratum_edges().select(F.lit("stratum"), "parent", "ord", "pos", "to", "id")))
+        return stored(s.union(self._stratum_edges().select(F.lit("stratum"), "parent", "ord", "pos", "to", "id")))
 
     @classmethod
     def of_tables(cls, seqs: DataFrame, kmin: int, strata: DataFrame, edges: DataFrame) -> Graph:
@@ -292,6 +299,17 @@ def stratum_frequency_by_dataset(g: Graph) -> DataFrame:
     return g.occ.join(g.seqs.select("seq_id", "dataset_id"), "seq_id").groupBy("id", "dataset_id").agg(F.count("*").alias("freq"))
 
 
+def named_frequency_by_dataset(seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> DataFrame:
+    """(dataset_id, freq, text) of the strata of seqs(seq_id, seq, dataset_id), for each dataset that a stratum occurs in.
+
+    letters and longest as for `Graph`; where letters fit packed, no graph is built.
+    """
+    if packed_repeats.fits(letters, longest, kmin) and seqs.schema["dataset_id"].dataType.simpleString() in ("tinyint", "smallint", "int"):
+        return packed_repeats.dataset_rows(seqs, kmin, letters)
+    g = Graph(seqs, kmin, letters, longest)
+    return g.named(stratum_frequency_by_dataset(g))
+
+
 def save(g: Graph, path: str) -> None:
     """Write the graph's tables as Parquet under path: sequences, strata, edges, and kmin."""
     for name in ("seqs", "strata", "edges"):

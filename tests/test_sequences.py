@@ -307,6 +307,22 @@ def test_packed_repeats(spark, monkeypatch):
     assert Graph(spark.createDataFrame([], "seq_id long, seq string"), 3, "ACGT", 255).edges.count() == 0
 
 
+def test_frequencies_by_dataset_are_counted_without_the_graph(spark, monkeypatch):
+    """At 0.1 GB of documents neither places nor edges may become rows: `stratum_frequency_by_dataset` builds no graph."""
+    from kmerloom.operators import graph, packed_repeats
+
+    for part, (kmin, seqs) in zip((1 << 18, 3), random_sets(33, 2)):
+        monkeypatch.setattr(packed_repeats, "PART", part)
+        given = [(i, x, None if i % 4 == 3 else i % 4 - 1) for i, x in enumerate([*seqs, "ACGT" * 50, "CGTA" * 60, None])]
+        s = spark.createDataFrame(given, "seq_id long, seq string, dataset_id int").repartition(3)
+        g = Graph(s, kmin)
+        want = g.named(graph.stratum_frequency_by_dataset(g))
+        got = graph.named_frequency_by_dataset(s, kmin, "ACGT", 255)
+        assert got.schema.simpleString() == want.schema.simpleString() and got.count() and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    monkeypatch.setattr(graph.Graph, "__init__", lambda *a: 1 / 0)
+    assert QUERIES["stratum_frequency_by_dataset"](spark, SF).count()
+
+
 def test_graph_of_reads_moves_packed_letters(spark):
     """At 0.1 GB of documents a place must not become a row of the shuffle."""
     from kmerloom.operators import repeats
