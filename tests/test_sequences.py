@@ -428,7 +428,7 @@ def test_balance_counts_what_differs(spark):
     assert tuple(packed_unitigs.balance(frame(spark, ["ACGT", "TTT", "TTTT"]), contents, 3, "ACGT").collect()[0]) == (1, 3)
 
 
-@pytest.mark.parametrize("name", ["bwt_lf", "bwt_recover"])
+@pytest.mark.parametrize("name", ["bwt_lf", "bwt_recover", "bwt_select"])
 def test_transform_rows_are_not_broadcast(spark, monkeypatch, name):
     """At 60 times sf0.1 the suffixes of a file of 10 MB are 12 million rows, more than a driver holds."""
     planned, kind = [], type(spark.range(0))
