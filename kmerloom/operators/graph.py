@@ -12,11 +12,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.lineage import stored
+from kmerloom.functions.lineage import stored, stored_alone
 from kmerloom.operators import packed_repeats
 from kmerloom.operators.kmers import pairs_of_datasets
 from kmerloom.operators.repeats import maximal_repeats
 
+EDGE = ("kind", "vertex", "ord", "pos", "to", "id")
 #: Letters of a stretch of a sequence; a stratum meets the repeats within it by the stretches that it spans.
 STRETCH = 256
 
@@ -38,21 +39,44 @@ def need_k(k: int, least: int) -> None:
 class Graph:
     """The tables of the graph of seqs(seq_id, seq [, dataset_id]) at kmin. seq_id is unique.
 
-    letters and longest, if given, say what letters and how many of them a sequence has; see `maximal_repeats`.
+    letters and longest, if given, say what letters and how many of them a sequence has; see `maximal_repeats`. Where letters
+    are packed, no place of a stratum is stored (see `packed_repeats.Strata`), and strata are numbered in no order; if
+    datasets, their frequencies in datasets are counted along.
 
     strata(id, size, freq, left_cnt, right_cnt, sample_seq_id, sample_pos, home_seq_id, home_pos), occ(id, seq_id, pos, size),
     edges(kind, vertex, ord, pos, to, id).
     """
 
-    def __init__(self, seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> None:
+    def __init__(self, seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None, datasets: bool = False) -> None:
         if kmin < 1:
             raise ValueError("kmin is 1 or more")
         self.kmin, self.seqs = kmin, stored(seqs.withColumn("seq_id", F.col("seq_id").cast("long")))
-        self.strata, self.occ = maximal_repeats(self.seqs, kmin, letters, longest)
+        self.letters = letters if packed_repeats.fits(letters, longest, kmin) else None
+        if self.letters is None:
+            self.strata, self.occ = maximal_repeats(self.seqs, kmin, letters, longest)
+            return
+        place = [F.col(c).alias(f"{of}_{c}") for of in ("sample", "home") for c in ("seq_id", "pos")]
+        self.datasets = datasets and packed_repeats.fits_datasets(self.seqs)
+        self.rows = packed_repeats.graph_rows(self.seqs, kmin, letters, self.datasets)
+        self.strata = self.rows.filter(F.col("what") == packed_repeats.STRATUM).select("size", "freq", "left_cnt", "right_cnt", *place, "id")
+
+    @cached_property
+    def occ(self) -> DataFrame:
+        """Found when first asked for, where letters are packed: edges don't need them."""
+        names = self.strata.select("id", "size", F.col("sample_seq_id").alias("of_seq"), F.col("sample_pos").alias("of_pos"))
+        places = packed_repeats.repeat_rows(self.seqs, self.kmin, self.letters).filter(F.col("what") == packed_repeats.PLACE)
+        return stored(places.join(names, ["of_seq", "of_pos", "size"]).select("id", "seq_id", F.col("pos").cast("int").alias("pos"), F.col("size").cast("int").alias("size")))
+
+    @cached_property
+    def placed(self) -> DataFrame | None:
+        """The edges with shared, seq_id, at and whole, where letters are packed; see `packed_repeats.edge_rows`."""
+        return None if self.letters is None else stored_alone(packed_repeats.edge_rows(self.rows))
 
     @cached_property
     def edges(self) -> DataFrame:
         """Found when first asked for: strata and their frequencies don't need them."""
+        if self.placed is not None:
+            return self.placed.select(*EDGE)
         s = self._seq_edges().select(F.lit("sequence").alias("kind"), F.col("seq_id").alias("vertex"), "ord", "pos", "to", "id")
         return stored(s.union(self._stratum_edges().select(F.lit("stratum"), "parent", "ord", "pos", "to", "id")))
 
@@ -60,7 +84,8 @@ class Graph:
     def of_tables(cls, seqs: DataFrame, kmin: int, strata: DataFrame, edges: DataFrame) -> Graph:
         """A graph without the occurrences of its strata, which only frequencies per dataset need."""
         g = object.__new__(cls)
-        g.kmin, g.seqs, g.strata, g.edges, g.occ = kmin, seqs, strata, edges, None
+        g.kmin, g.seqs, g.strata, g.edges, g.occ, g.letters = kmin, seqs, strata, edges.select(*EDGE), None, None
+        g.placed = edges if "shared" in edges.columns else None
         return g
 
     def _seq_edges(self) -> DataFrame:
@@ -102,6 +127,14 @@ class Graph:
             d = d.join(v, ["kind", "vertex"], "left").withColumn("vertex", F.coalesce("_name", F.col("vertex").cast("string"))).drop("_name")
         return d
 
+    def named_edges(self) -> DataFrame:
+        """The edges with texts in place of numbers, as `named` gives them; where letters are packed, cut from their sequences."""
+        if self.placed is None:
+            return self.named(self.edges)
+        d = self.placed.join(self.seqs.select("seq_id", "seq"), "seq_id")
+        vertex = F.when(F.col("kind") == "stratum", F.substring("seq", F.col("at") - F.col("pos") + 1, F.col("whole"))).otherwise(F.col("vertex").cast("string"))
+        return d.select("kind", vertex.alias("vertex"), "ord", "pos", "to", F.substring("seq", F.col("at") + 1, F.col("to") - F.col("pos")).alias("text"))
+
     def vertices(self) -> DataFrame:
         """(kind, vertex, size, freq, left_cnt, right_cnt)"""
         none = F.lit(None).cast("int")
@@ -192,15 +225,22 @@ class Graph:
         d = self.named(self.vertices()).join(e, ["kind", "vertex"], "left")
         return d.select("kind", F.concat_ws(" ", "vertex", "size", F.coalesce("line", F.lit(""))).alias("line"))
 
+    def _lengths(self) -> DataFrame:
+        """(kind, vertex, length, shared) of the edges: their letters, and those in common with the edge before."""
+        length = (F.col("to") - F.col("pos")).alias("length")
+        if self.placed is not None:
+            return self.placed.select("kind", "vertex", length, "shared")
+        w = Window.partitionBy("kind", "vertex").orderBy("ord")
+        shared = F.greatest(F.lag("to").over(w) - F.col("pos"), F.lit(0))
+        return self.edges.select("kind", "vertex", length, F.coalesce(shared, F.lit(0)).alias("shared"))
+
     def ramps(self) -> DataFrame:
         """(kind, vertex, length, n): the k-mers that lie in a vertex and in none of its edges are a sum of ramps.
 
         A vertex of size s has s - k + 1 k-mers, less those in its edges, plus those that two neighbouring edges share: each
         term is n * max(0, length - k + 1).
         """
-        w = Window.partitionBy("kind", "vertex").orderBy("ord")
-        length, shared = F.col("to") - F.col("pos"), F.greatest(F.lag("to").over(w) - F.col("pos"), F.lit(0))
-        e = self.edges.select("kind", "vertex", length.alias("length"), F.coalesce(shared, F.lit(0)).alias("shared"))
+        e = self._lengths()
         terms = F.array(F.struct(F.col("length"), F.lit(-1).alias("n")), F.struct(F.col("shared").alias("length"), F.lit(1).alias("n")))
         e = e.select("kind", "vertex", F.explode(terms).alias("t")).select("kind", "vertex", "t.length", "t.n").filter("length > 0")
         return self.vertices().select("kind", "vertex", F.col("size").alias("length"), F.lit(1).alias("n")).union(e)
@@ -260,13 +300,19 @@ class Graph:
         as it does, in each dataset. value is null without support.
         """
         need_k(k_from, self.kmin)
-        f = stratum_frequency_by_dataset(self).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dataset_id", "freq"))).alias("held"))
-        r = self.ramps().filter("kind = 'stratum'")
-        d = stored(r.select(F.col("vertex").alias("id"), "length", "n").join(f, "id").select("length", "n", "held"))
-        pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> struct(x.dataset_id as id1, y.dataset_id as id2, least(x.freq, y.freq) as m))))")
-        shared = d.select("length", "n", F.explode(pairs).alias("p")).select("length", (F.col("n") * F.col("p.m")).alias("n"), "p.id1", "p.id2")
-        each = d.select("length", "n", F.explode("held").alias("h")).select("length", (F.col("n") * F.col("h.freq")).alias("n"), "h.dataset_id")
-        shared, each = over_k(shared, ["id1", "id2"], k_from, k_to), stored(over_k(each, ["dataset_id"], k_from, k_to))
+        if self.letters is not None and self.datasets:
+            f = self.rows.filter(F.col("what") == packed_repeats.STRATUM).select("id", "size", "held")
+        else:
+            f = stratum_frequency_by_dataset(self).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dataset_id", "freq"))).alias("held"))
+            f = f.join(self.strata.select("id", "size"), "id")
+        e = self._lengths().filter("kind = 'stratum'").select(F.col("vertex").alias("id"), "length", "shared").join(f.select("id", "held"), "id")
+        term = lambda c, n: F.struct(F.col(c).cast("int").alias("length"), F.lit(n).cast("long").alias("n"))
+        d = e.select("held", F.array(term("length", -1), term("shared", 1)).alias("t")).union(f.select("held", F.array(term("size", 1)).alias("t")))
+        # a dataset's own k-mers are a pair of it with itself
+        pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 1, size(held)), y -> struct(x.dataset_id as id1, y.dataset_id as id2, least(x.freq, y.freq) as m))))")
+        d = d.select("t", F.explode(pairs).alias("p")).select("p.*", F.explode("t").alias("t")).filter("t.length > 0")
+        both = stored_alone(over_k(d.select("id1", "id2", "t.length", (F.col("t.n") * F.col("m")).alias("n")), ["id1", "id2"], k_from, k_to))
+        shared, each = both.filter("id1 < id2"), both.filter("id1 = id2").select(F.col("id1").alias("dataset_id"), "k", "count")
         grid = pairs_of_datasets(self.seqs).withColumn("k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to)))).join(shared.withColumnRenamed("count", "nominator"), ["id1", "id2", "k"], "left")
         for i in (1, 2):
             grid = grid.join(each.select(F.col("dataset_id").alias(f"id{i}"), "k", F.col("count").alias(f"n{i}")), [f"id{i}", "k"], "left")
@@ -310,10 +356,27 @@ def named_frequency_by_dataset(seqs: DataFrame, kmin: int, letters: str | None =
     return g.named(stratum_frequency_by_dataset(g))
 
 
+def strata_by_size(seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> DataFrame:
+    """As `Graph.size_by_kmin`; where letters fit packed, strata and edges are counted where they are found, without the graph."""
+    if not packed_repeats.fits(letters, longest, kmin):
+        return Graph(seqs, kmin, letters, longest).size_by_kmin()
+    d = packed_repeats.size_rows(seqs, kmin, letters).groupBy("size").agg(F.sum("strata").alias("strata"), F.sum("edges").alias("edges"))
+    w = Window.orderBy(F.desc("size"))  # one row per size
+    return d.select("size", F.sum("strata").over(w).alias("strata"), F.sum("edges").over(w).alias("edges"))
+
+
+def named_strata(seqs: DataFrame, kmin: int, letters: str | None = None, longest: int | None = None) -> DataFrame:
+    """(text, size, freq, left_cnt, right_cnt) of the strata; where letters fit packed, no graph is built."""
+    if packed_repeats.fits(letters, longest, kmin):
+        return packed_repeats.strata_rows(seqs, kmin, letters)
+    g = Graph(seqs, kmin, letters, longest)
+    return g.named(g.strata).select("text", "size", "freq", "left_cnt", "right_cnt")
+
+
 def save(g: Graph, path: str) -> None:
     """Write the graph's tables as Parquet under path: sequences, strata, edges, and kmin."""
-    for name in ("seqs", "strata", "edges"):
-        getattr(g, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, d in (("seqs", g.seqs), ("strata", g.strata), ("edges", g.edges if g.placed is None else g.placed)):
+        d.write.mode("overwrite").parquet(f"{path}/{name}")
     g.seqs.sparkSession.createDataFrame([(g.kmin,)], "kmin int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 

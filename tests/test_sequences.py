@@ -437,3 +437,23 @@ def test_transform_rows_are_not_broadcast(spark, monkeypatch, name):
     QUERIES[name](spark, SF)
     plans = [d._jdf.queryExecution().executedPlan().toString() for d in planned if "_up" in d.columns and "_before" in d.columns]
     assert plans and all("SortMergeJoin" in p and "BuildLeft" not in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["graph_build"])
+def test_no_places_of_strata_are_stored(spark, monkeypatch, name):
+    """At 0.1 GB of documents strata have hundreds of millions of places; edges come from the contexts of each stratum."""
+    from kmerloom.operators import packed_repeats
+
+    monkeypatch.setattr(packed_repeats, "repeat_rows", lambda *a: 1 / 0)
+    assert QUERIES[name](spark, SF).count()
+
+
+def test_edges_from_contexts(spark):
+    """Edges and their texts against the way by places: copies, begins and ends, runs of one letter, strata in strata."""
+    for kmin, seqs in random_sets(51, 2):
+        seqs = [*seqs, "A" * 60, "A" * 45, "ACGT" * 20, "ACGT" * 20, "CGTACGTTTACG", "ACGTACGTTTAC"]
+        s = spark.createDataFrame([(i * (1 << 24), x) for i, x in enumerate([*seqs, None])], "seq_id long, seq string").repartition(3)
+        g, plain = Graph(s, kmin, "ACGT", 255), Graph(s, kmin)
+        columns = ["kind", "vertex", "ord", "pos", "to", "text"]
+        assert rows(g.named_edges().select(columns)) == rows(plain.named(plain.edges).select(columns))
+        assert rows(g.overlaps().groupBy("kind", "overlap").count()) == rows(g.placed.groupBy("kind", "shared").count())
