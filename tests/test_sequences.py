@@ -439,7 +439,7 @@ def test_transform_rows_are_not_broadcast(spark, monkeypatch, name):
     assert plans and all("SortMergeJoin" in p and "BuildLeft" not in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["graph_build", "graph_kmer_count_range"])
+@pytest.mark.parametrize("name", ["graph_build", "graph_kmer_count_range", "unitig_case_stats_graph"])
 def test_no_places_of_strata_are_stored(spark, monkeypatch, name):
     """At 0.1 GB of documents strata have hundreds of millions of places; edges come from the contexts of each stratum."""
     from kmerloom.operators import packed_repeats
